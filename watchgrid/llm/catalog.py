@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import pii
+from watchgrid.llm import mixing, pii
 
 QUERIES = {
+    "op3_mixture_split_tree": mixing.op3,
     "op4_pii_boosting": pii.op4,
 }
 
