@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import mixing, pii
+from watchgrid.llm import mixing, pii, warc
 
 QUERIES = {
     "op3_mixture_split_tree": mixing.op3,
     "op4_pii_boosting": pii.op4,
+    "op8_warc_zip": warc.op8,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc_zip": warc.SQL,
+}
