@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import mixing, pii, warc
+from watchgrid.llm import jaccard, mixing, pii, warc
 
 QUERIES = {
     "op3_mixture_split_tree": mixing.op3,
     "op4_pii_boosting": pii.op4,
+    "op5_ngram_jaccard": jaccard.op5,
     "op8_warc_zip": warc.op8,
 }
 
