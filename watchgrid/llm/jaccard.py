@@ -58,7 +58,7 @@ class Shingler:
         import xxhash
 
         self.n, self.keep, self.hash, self.known = n, keep, xxhash.xxh3_64_intdigest, {}
-        self.factors = [_U((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF) for i in range(n)]
+        self.factors = mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)  # without small linear relations, as words repeat
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = common.words(text)
