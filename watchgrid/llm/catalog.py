@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import jaccard, mixing, pii, warc
+from watchgrid.llm import jaccard, lm, mixing, pii, warc
 
 QUERIES = {
+    "op1_deleted_interpolation": lm.op1,
     "op3_mixture_split_tree": mixing.op3,
     "op4_pii_boosting": pii.op4,
     "op5_ngram_jaccard": jaccard.op5,
