@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import jaccard, lm, mixing, pii, warc
+from watchgrid.llm import ann, caps, jaccard, lm, mixing, pii, warc
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
+    "op2_rp_forest": ann.op2,
     "op3_mixture_split_tree": mixing.op3,
     "op4_pii_boosting": pii.op4,
     "op5_ngram_jaccard": jaccard.op5,
     "op8_warc_zip": warc.op8,
+    "op9_spherical_caps": caps.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
