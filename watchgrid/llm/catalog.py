@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import ann, caps, jaccard, lm, mixing, pii, warc
+from watchgrid.llm import ann, caps, html, jaccard, lm, mixing, pii, warc
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ngram_jaccard": jaccard.op5,
     "op8_warc_zip": warc.op8,
     "op9_spherical_caps": caps.op9,
+    "op10_site_style_tree": html.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
