@@ -6,7 +6,7 @@ back for scoring.
 
 Texts are read block by block (the partitions of the scan, cut finer by document where these are large). A block sends its distinct n-gram hashes with their counts, packed per
 shard of the hash space; a shard adds up what all blocks have of a hash and answers each block, in the order of its own hashes. Every n-gram thus travels once per block that
-holds it, however frequent it is, and a shard gets an even share of all hashes. The answers are written to the shared folder; weights and scores are computed where an answer
+holds it, however frequent it is, and a shard gets an even range of all hashes. The answers are written to the shared folder; weights and scores are computed where an answer
 meets its block's texts again. Nothing that grows with the corpus comes to the driver: it sees two totals and a weight per bucket.
 
 Hashes have 63 bits: among N distinct n-grams about N^2 / 2^64 pairs share one and count together.
@@ -29,7 +29,7 @@ HELD = 10
 ROUNDS = 25
 BUCKETS = 40
 #: Bytes of a scan partition that make one block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 _U = np.uint64
 _ONE = _U(1)
@@ -41,34 +41,11 @@ def is_held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 1, F.lit(False))
 
 
-class _Hasher:
-    """Texts to hashes of their tokens (words, then one end)."""
-
-    def __init__(self, keep: int = 400_000):
-        import xxhash
-
-        self.hash, self.keep, self.known = xxhash.xxh3_64_intdigest, keep, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens, known = common.words(text), self.known
-        if len(known) > self.keep:
-            known.clear()
-        for t in set(tokens):
-            if t not in known:
-                known[t] = self.hash(t)
-        out = np.empty(len(tokens) + 1, dtype=_U)
-        out[:-1] = np.fromiter((known[t] for t in tokens), dtype=_U, count=len(tokens))
-        out[-1] = _END
-        return out
-
-
 def _unigram(h: np.ndarray) -> np.ndarray:
     return mix(h) & ~_ONE
 
 
-def _bigram(h: np.ndarray) -> np.ndarray:
-    """Of each token with the one before it, the first with the start."""
-    before = np.concatenate([[_START], h[:-1]])
+def _bigram(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(mix(before) * _U(0x9E3779B97F4A7C15) + h) | _ONE
 
 
@@ -76,48 +53,64 @@ _CONTEXT = _unigram(np.array([_START]))[0]
 
 
 class _Block:
-    """The tokens of a block's documents, and its distinct keys by shard and value."""
+    """The tokens of a block's documents (words, then one end each), and its distinct n-gram keys in ascending order, which is that of the shards."""
+
+    def __init__(self, texts, shards: int):
+        import xxhash
 
-    def __init__(self, texts, shards: int, hasher: _Hasher | None = None):
-        hasher = hasher or _Hasher()
-        tokens = [hasher(t) for t in texts]
-        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.document = np.repeat(np.arange(len(tokens)), self.sizes)
+        known: dict[bytes, int] = {}  # ids from 2; 0 is the end, 1 the start
+        parts = []
+        for t in texts:
+            tokens = common.words(t)
+            for w in set(tokens).difference(known):
+                known[w] = len(known) + 2
+            ids = np.zeros(len(tokens) + 1, dtype=np.int32)
+            ids[:-1] = np.fromiter(map(known.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+            parts.append(ids)
+        self.sizes = np.array([len(x) for x in parts], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        h = np.concatenate(tokens) if tokens else np.empty(0, dtype=_U)
-        uni, bi = _unigram(h), np.concatenate([_bigram(t) for t in tokens]) if tokens else np.empty(0, dtype=_U)
-        keys, at = np.unique(np.concatenate([uni, bi, [_CONTEXT]]), return_inverse=True)
-        order = np.argsort(keys % _U(shards), kind="stable")
-        rank = np.empty(len(keys), dtype=np.int64)
-        rank[order] = np.arange(len(keys))
-        self.keys, self.at = keys[order], rank[at].astype(np.int32)
-        self.uni, self.bi, self.start = self.at[: len(h)], self.at[len(h) : 2 * len(h)], self.at[-1]
-        self.cuts = np.searchsorted((self.keys % _U(shards)).astype(np.int64), np.arange(shards + 1))
+        token = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+        before = np.concatenate([[1], token[:-1]]).astype(np.int32)
+        before[self.starts[: len(parts)]] = 1
+        h = np.empty(len(known) + 2, dtype=_U)
+        h[:2] = _END, _START
+        h[2:] = np.fromiter(map(xxhash.xxh3_64_intdigest, known), dtype=_U, count=len(known))
+        del known, parts
+        pair, pairs = pd.factorize(before.astype(np.int64) * len(h) + token)
+        keys = np.concatenate([_unigram(h), _bigram(h[pairs // len(h)], h[pairs % len(h)])])
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), dtype=np.int32)
+        rank[order] = np.arange(len(keys), dtype=np.int32)
+        self.keys, self.start = keys[order], rank[1]
+        self.uni, self.bi, self.context = rank[token], rank[len(h) + pair], rank[before]
+        edges = np.array([(i << 64) // shards for i in range(1, shards)], dtype=_U)
+        self.cuts = np.concatenate([[0], np.searchsorted(self.keys, edges), [len(keys)]]).astype(np.int64)
 
     def counts(self, documents: np.ndarray) -> np.ndarray:
         """Of every key in the documents of a mask; the start once a document."""
-        mask = documents[self.document]
+        mask = np.repeat(documents, self.sizes)
         n = np.bincount(self.uni[mask], minlength=len(self.keys)) + np.bincount(self.bi[mask], minlength=len(self.keys))
         n[self.start] += int(documents.sum())
         return n.astype(np.uint32)
 
-    def contexts(self) -> np.ndarray:
-        """Key of the token before each token."""
-        out = np.concatenate([[self.start], self.uni[:-1]]) if len(self.uni) else self.uni
-        out[self.starts] = self.start
-        return out
-
-    def answer(self, pieces: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the model's and of the held-out part for every key, from the rows that the shards sent."""
-        kept, held = np.zeros(len(self.keys)), np.zeros(len(self.keys))
-        sent = 0
-        for shard, a, b in zip(pieces["shard"], pieces["kept"], pieces["held"], strict=True):
+    def pieces(self, block: int, *counts: np.ndarray) -> pd.DataFrame:
+        """A row for each shard that has keys of the block; counts, if any, are what the block adds to the kept and the held-out part."""
+        rows = []
+        for k, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
+            if lo < hi:
+                rows.append((k, block, self.keys[lo:hi].tobytes(), *(n[lo:hi].tobytes() for n in counts), *[None] * (2 - len(counts))))
+        return pd.DataFrame(rows, columns=["shard", "block", "keys", "kept", "held"])
+
+    def answer(self, pieces: pd.DataFrame) -> np.ndarray:
+        """The count of every key, from the rows that the shards sent."""
+        n, sent = np.zeros(len(self.keys)), 0
+        for shard, raw in zip(pieces["shard"], pieces["n"], strict=True):
             lo, hi = self.cuts[shard], self.cuts[shard + 1]
-            kept[lo:hi], held[lo:hi] = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+            n[lo:hi] = np.frombuffer(raw, dtype=np.uint32)
             sent += hi - lo
         if sent != len(self.keys):
             raise ValueError("the input's partitions changed between two reads; write it to a table first")
-        return kept, held
+        return n
 
 
 def bucket(n: np.ndarray) -> np.ndarray:
@@ -136,14 +129,16 @@ class Model:
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
         rows = rows.withColumn("held", F.col("train") & F.coalesce(part, F.lit(False)))
         finer = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(fine)), F.lit(0))
-        self.rows = rows.withColumn("block", F.spark_partition_id().cast("long") * fine + finer)
-        self.answers = common.written(self._count())
-        total, kinds, kept_total, kept_kinds = self.answers.where("block < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "kept_n", "kept_v"))).first()
-        self.tokens, self.vocabulary, self.kept_tokens, self.kept_vocabulary = int(total), int(kinds), int(kept_total), int(kept_kinds)
-        self.answers = self.answers.where("block >= 0").select("block", "shard", "kept", "held")
+        self.rows = rows.withColumn("block", 2 * (F.spark_partition_id().cast("long") * fine + finer))
+        answers = common.written(self._count())
+        self.totals = {r["block"]: (int(r["n"]), int(r["v"])) for r in answers.where("block < 0").groupBy("block").agg(F.sum("sum").alias("n"), F.sum("kinds").alias("v")).collect()}
+        self.answers = answers.where("block >= 0").select("block", "shard", "n")
+        self.tokens, self.vocabulary = self.totals.get(-1, (0, 0))
         self.unigram_weight, self.weights = self._learn(rounds)
 
     def _count(self) -> DataFrame:
+        """(block, shard, n) with the counts of the block's keys in a shard: of all training documents for even blocks, whose documents are to be scored; of the kept part for odd
+        ones, which are the held-out documents of the even block before. Totals, of both kinds, have the blocks -1 and -2."""
         shards = self.shards
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,49 +146,50 @@ class Model:
             for pdf in batches:
                 for b, own in pdf.groupby("block"):
                     texts.setdefault(b, []).append(own)
-            hasher = _Hasher()
             for b in sorted(texts):
                 own = pd.concat(texts.pop(b))
-                block = _Block(own["text"], shards, hasher)
+                block = _Block(own["text"], shards)
                 train, held = own["train"].to_numpy(dtype=bool), own["held"].to_numpy(dtype=bool)
-                kept, other = block.counts(train & ~held), block.counts(held)
-                for k in range(shards):
-                    lo, hi = block.cuts[k], block.cuts[k + 1]
-                    if lo < hi:
-                        yield pd.DataFrame({"shard": [k], "block": [b], "keys": [block.keys[lo:hi].tobytes()], "kept": [kept[lo:hi].tobytes()], "held": [other[lo:hi].tobytes()]})
+                yield block.pieces(b, block.counts(train & ~held), block.counts(held))
+                del block
+                if held.any():
+                    yield _Block(own["text"][held], shards).pieces(b + 1)
 
         def add(pieces: pd.DataFrame) -> pd.DataFrame:
-            keys = np.concatenate([np.frombuffer(x, dtype=_U) for x in pieces["keys"]])
-            keys, at = np.unique(keys, return_inverse=True)
-            total = [np.bincount(at, weights=np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pieces[c]]), minlength=len(keys)) for c in ("kept", "held")]
+            at, keys = pd.factorize(np.concatenate([np.frombuffer(x, dtype=_U) for x in pieces["keys"]]))
             ends = np.cumsum([len(x) // 8 for x in pieces["keys"]])
-            at = np.split(at, ends[:-1])
-            out = pd.DataFrame({"block": pieces["block"], "shard": pieces["shard"], **{c: [n[a].astype(np.uint32).tobytes() for a in at] for c, n in zip(("kept", "held"), total, strict=True)}})
+            own = [at[e - len(x) // 8 : e] for e, x in zip(ends, pieces["keys"], strict=True)]
+            total = {c: np.zeros(len(keys), dtype=np.int64) for c in ("kept", "held")}
+            for c, n in total.items():
+                for a, raw in zip(own, pieces[c], strict=True):
+                    if raw is not None:
+                        n[a] += np.frombuffer(raw, dtype=np.uint32)  # a block has a key once
+            n = [total["kept"] + total["held"], total["kept"]]
+            small = [np.minimum(x, 0xFFFFFFFF).astype(np.uint32) for x in n]
+            rows = [(b, s, small[b % 2][a].tobytes(), 0, 0) for b, s, a in zip(pieces["block"], pieces["shard"], own, strict=True)]
             words = (keys & _ONE == 0) & (keys != _CONTEXT)
-            both, kept = total[0][words] + total[1][words], total[0][words]
-            sums = {"n": int(both.sum()), "v": int((both > 0).sum()), "kept_n": int(kept.sum()), "kept_v": int((kept > 0).sum())}
-            last = pd.DataFrame({"block": [-1], "shard": [pieces["shard"].iloc[0]], "kept": [b""], "held": [b""], **{k: [v] for k, v in sums.items()}})
-            return pd.concat([out.assign(n=0, v=0, kept_n=0, kept_v=0), last])
+            rows += [(-1 - k, int(pieces["shard"].iloc[0]), b"", int(x[words].sum()), int((x[words] > 0).sum())) for k, x in enumerate(n)]
+            return pd.DataFrame(rows, columns=["block", "shard", "n", "sum", "kinds"])
 
         sent = self.rows.select("block", "text", "train", "held").mapInPandas(send, "shard int, block long, keys binary, kept binary, held binary")
-        return sent.groupBy("shard").applyInPandas(add, "block long, shard int, kept binary, held binary, n long, v long, kept_n long, kept_v long")
+        return sent.groupBy("shard").applyInPandas(add, "block long, shard int, n binary, sum long, kinds long")
 
     def _learn(self, rounds: int) -> tuple[float, list[float]]:
         """The unigram's weight against the uniform distribution, and the bigram's by bucket, from the held-out part's counts under a model of the kept part."""
-        shards, total, kinds = self.shards, max(self.kept_tokens, 1), self.kept_vocabulary
+        shards, (total, kinds) = self.shards, self.totals.get(-2, (0, 0))
 
         def outcomes(_, texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+            if not len(texts):
+                return pd.DataFrame({c: [] for c in ("pair", "context", "word", "n")})
             block = _Block(texts["text"], shards)
-            kept, _ = block.answer(pieces)
-            mask = texts["held"].to_numpy(dtype=bool)[block.document]
-            rows = np.stack([kept[block.bi[mask]], kept[block.contexts()[mask]], kept[block.uni[mask]]], axis=1).astype(np.int64)
+            kept = block.answer(pieces)
+            rows = np.stack([kept[block.bi], kept[block.context], kept[block.uni]], axis=1).astype(np.int64)
             rows, n = np.unique(rows, axis=0, return_counts=True)
             return pd.DataFrame({"pair": rows[:, 0], "context": rows[:, 1], "word": rows[:, 2], "n": n})
 
-        # Answers hold all keys of a block, so its other texts are needed to tell which answer is whose.
-        blocks = self.rows.select("block", "text", "held").groupBy("block").cogroup(self.answers.groupBy("block"))
+        blocks = self.rows.where("held").select((F.col("block") + 1).alias("block"), "text").groupBy("block").cogroup(self.answers.where("block % 2 = 1").groupBy("block"))
         seen = blocks.applyInPandas(outcomes, "pair long, context long, word long, n long").groupBy("pair", "context", "word").agg(F.sum("n").alias("n"))
-        f1 = F.col("word") / F.lit(float(total))
+        f1 = F.col("word") / F.lit(float(max(total, 1)))
         uniform = 1.0 / (kinds + 1)
         b = F.when(F.col("context") > 0, F.least(F.floor(F.log2("context")) + 1, F.lit(BUCKETS - 1))).otherwise(0).cast("int")
         seen = common.written(seen.withColumn("b", b))
@@ -230,9 +226,8 @@ class Model:
             if not len(texts):
                 return pd.DataFrame({c: [] for c in ("key", "extra", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
             block = _Block(texts["text"], shards)
-            kept, held = block.answer(pieces)
-            n = kept + held
-            word, context, pair = n[block.uni], n[block.contexts()], n[block.bi]
+            n = block.answer(pieces)
+            word, context, pair = n[block.uni], n[block.context], n[block.bi]
             base = np.log10((word + 0.5) / (total + 0.5 * (kinds + 1)))
             p = mu * word / max(total, 1) + (1 - mu) / (kinds + 1)
             lam = weights[bucket(context)]
@@ -243,7 +238,7 @@ class Model:
 
         rows = self.rows.withColumn("extra", F.lit(None).cast("boolean") if extra is None else extra).select("block", "key", "text", "extra")
         kind = rows.schema["key"].dataType.simpleString()
-        return rows.groupBy("block").cogroup(self.answers.groupBy("block")).applyInPandas(scores, f"key {kind}, extra boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return rows.groupBy("block").cogroup(self.answers.where("block % 2 = 0").groupBy("block")).applyInPandas(scores, f"key {kind}, extra boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _bytes(text: str) -> int:
