@@ -144,5 +144,15 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     ).drop("row")
 
 
+def drawn_rows(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, with their columns, each as often as the mix draws it. Rows that repeat a key with one size are drawn alike."""
+    many = digest(docs, key=key, **options).where("n_draws > 0").groupBy("doc_id", "size", "source").agg(F.max("n_draws").alias("n_draws"))
+    text, source = options.get("text", "text"), options.get("source", "source")
+    many = many.select(F.col("doc_id").alias("k_"), F.col("size").alias("s_"), F.col("source").alias("o_"), F.explode(F.expr("sequence(1, int(n_draws))")).alias("c_"))
+    sized = docs.withColumn("w_", word_count(F.col(text)))
+    same = sized[key].eqNullSafe(many["k_"]) & (sized["w_"] == many["s_"]) & sized[source].eqNullSafe(many["o_"])
+    return sized.join(many, same).select(*[sized[c] for c in docs.columns])
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(common.read(spark, sf_dir, "documents")).drop("source")

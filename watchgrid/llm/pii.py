@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchgrid.llm import common
@@ -238,5 +238,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return out.withColumnRenamed("key", key)
 
 
+def redacted(text: Column) -> Column:
+    """A text column with its personal data replaced by kind."""
+    fitted = model()
+    return F.pandas_udf(lambda s: s.map(lambda t: redact(t, spans(t, *fitted)[1])), "string")(text)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(common.read(spark, sf_dir, "documents")).drop("redacted")
