@@ -36,8 +36,6 @@ from watchgrid.llm.common import mix
 WORDS = 5
 #: Similarity of 0.8 as a fraction: two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-#: Signatures that one shard should hold.
-SHARD_SIGNATURES = 3_000_000
 #: Cost of one expected collision of a small subset against one written signature.
 COLLISION_COST = 50.0
 BITMAP = 1024
@@ -171,60 +169,63 @@ def bitmap(s: np.ndarray) -> bytes:
 # ------------------------------------------------------------------- operator
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, node) per document: the size of its set and the id of the set, 0 if empty."""
+def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One pass over the texts, written: a row per document batch with packed (key, n, node, bitmap), and a row per bucket with its id and packed nodes.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler()
-        for pdf in batches:
-            sets = [shingle(t) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "n_shingles": [len(s) for s in sets], "node": [node_id(s) for s in sets]})
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(scan, "key long, n_shingles long, node long")
-
-
-def buckets(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
-    """(bucket, node): the nodes that share a signature, for signatures that several nodes have, at least one of them with a whole subset. Equal node lists are one bucket."""
+    A bucket has the nodes that share a signature, for signatures that several nodes have, at least one of them with a whole subset. Equal lists of nodes may come up in several
+    shards; they have one id.
+    """
+    shards = common.partitions(docs.sparkSession)
+    columns = ["shard", "ids", "sigs", "at", "keys", "maps"]
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
-        nodes, sigs, owner = [], [], []
-        held = 0
+        nodes, sigs, owner, seen, held = [], [], [], set(), 0
 
-        def packed() -> Iterator[pd.DataFrame]:
+        def packed() -> pd.DataFrame:
             sig, at = np.concatenate(sigs), np.concatenate(owner)
-            shard = (sig % _U(shards)).astype(np.int64)
-            order = np.lexsort((sig, shard))
-            sig, at, cuts = sig[order], at[order], np.searchsorted(shard[order], np.arange(shards + 1))
-            ids = np.array(nodes, dtype=np.int64)
+            order = np.argsort(sig)
+            sig, at = sig[order], at[order]
+            cuts = np.concatenate([[0], np.searchsorted(sig, _edges(shards)), [len(sig)]]) if shards > 1 else np.array([0, len(sig)])
+            ids, rank, out = np.array(nodes, dtype=np.int64), np.zeros(len(nodes), dtype=np.uint32), []
             for k in range(shards):
                 if cuts[k] < cuts[k + 1]:
                     part = at[cuts[k] : cuts[k + 1]]
-                    used, local = np.unique(part >> np.uint32(1), return_inverse=True)
-                    local = (local.astype(np.uint32) << np.uint32(1)) | (part & np.uint32(1))
-                    yield pd.DataFrame({"shard": [k], "ids": [ids[used].tobytes()], "sigs": [sig[cuts[k] : cuts[k + 1]].tobytes()], "at": [local.tobytes()]})
+                    used = np.unique(part >> np.uint32(1))
+                    rank[used] = np.arange(len(used), dtype=np.uint32)
+                    local = (rank[part >> np.uint32(1)] << np.uint32(1)) | (part & np.uint32(1))
+                    out.append((k, ids[used].tobytes(), sig[cuts[k] : cuts[k + 1]].tobytes(), local.tobytes(), None, None))
+            return pd.DataFrame(out, columns=columns)
 
-        seen: set[int] = set()
         for pdf in batches:
+            if not len(pdf):
+                continue
+            own, sizes, maps = [], [], []
             for t in pdf["text"]:
                 s = shingle(t)
                 node = node_id(s)
-                if node in seen:
-                    continue
-                sig, whole = signatures(s)
-                if len(sig):
+                own.append(node)
+                sizes.append(len(s))
+                maps.append(bitmap(s) if differ(2 * len(s)) else bytes(BITMAP // 8))
+                if node not in seen and len((got := signatures(s))[0]):
                     seen.add(node)
-                    owner.append(np.full(len(sig), len(nodes) << 1, dtype=np.uint32) | whole)
+                    owner.append(np.full(len(got[0]), len(nodes) << 1, dtype=np.uint32) | got[1])
                     nodes.append(node)
-                    sigs.append(sig)
-                    held += len(sig)
-                if held >= 4_000_000:
-                    yield from packed()
-                    nodes, sigs, owner, held, seen = [], [], [], 0, set()
+                    sigs.append(got[0])
+                    held += len(got[0])
+            keys = np.stack([pdf["key"].to_numpy(dtype=np.int64), pdf["has"].to_numpy(dtype=np.int64)])
+            yield pd.DataFrame([(own[0] % shards, np.array(own, dtype=np.int64).tobytes(), None, np.array(sizes, dtype=np.int64).tobytes(), keys.tobytes(), b"".join(maps))], columns=columns)
+            if held >= 4_000_000:
+                yield packed()
+                nodes, sigs, owner, seen, held = [], [], [], set(), 0
         if held:
-            yield from packed()
+            yield packed()
 
     def meet(pieces: pd.DataFrame) -> pd.DataFrame:
+        told = pieces[pieces["sigs"].isna()][["ids", "at", "keys", "maps"]]
+        pieces = pieces[~pieces["sigs"].isna()]
+        if not len(pieces):
+            return told.assign(bucket=None)
         sig = np.concatenate([np.frombuffer(x, dtype=_U) for x in pieces["sigs"]])
         at, node = [], []
         for ids, x in zip(pieces["ids"], pieces["at"], strict=True):
@@ -232,7 +233,7 @@ def buckets(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
             at.append((local & np.uint32(1)).astype(bool))
             node.append(np.frombuffer(ids, dtype=np.int64)[local >> np.uint32(1)])
         whole, node = np.concatenate(at), np.concatenate(node)
-        order = np.argsort(sig, kind="stable")
+        order = np.argsort(sig)
         sig = sig[order]
         same = np.concatenate([sig[1:] == sig[:-1], [False]])
         some = same | np.concatenate([[False], same[:-1]])
@@ -240,32 +241,50 @@ def buckets(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
         node, whole = node[order], whole[order]
         order = np.lexsort((node, sig))
         sig, node, whole = sig[order], node[order], whole[order]
-        lists, seen = [], set()
+        lists = set()
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
         for a, b in zip(starts, [*starts[1:], len(sig)], strict=True):
             own = node[a:b]
-            if own[0] == own[-1] or not whole[a:b].any():
-                continue
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            raw = own.tobytes()
-            if raw not in seen:
-                seen.add(raw)
-                lists.append(raw)
-        return pd.DataFrame({"nodes": lists})
+            if own[0] != own[-1] and whole[a:b].any():
+                lists.add(own[np.concatenate([[True], own[1:] != own[:-1]])].tobytes())
+        found = [(x, hash_of(x)) for x in lists]
+        return pd.concat([told.assign(bucket=None), pd.DataFrame({"ids": [x for x, _ in found], "at": None, "keys": None, "maps": None, "bucket": [h for _, h in found]})])
+
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNotNull().alias("has"), F.col(text).alias("text"))
+    pieces = rows.mapInPandas(index, "shard int, ids binary, sigs binary, at binary, keys binary, maps binary")
+    return common.written(pieces.groupBy("shard").applyInPandas(meet, "ids binary, at binary, keys binary, maps binary, bucket long"))
+
+
+def hash_of(raw: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
+def _documents(index: DataFrame) -> DataFrame:
+    """(key, n_shingles, node, bitmap) per document of an index."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ids, at, keys, maps in zip(pdf["ids"], pdf["at"], pdf["keys"], pdf["maps"], strict=True):
+                key, has = np.frombuffer(keys, dtype=np.int64).reshape(2, -1)
+                n = np.frombuffer(at, dtype=np.int64)
+                step = BITMAP // 8
+                yield pd.DataFrame({"key": pd.arrays.IntegerArray(key.copy(), has == 0), "n_shingles": n, "node": np.frombuffer(ids, dtype=np.int64), "bitmap": [maps[step * i : step * i + step] for i in range(len(n))]})
+
+    return index.where("keys IS NOT NULL").select("ids", "at", "keys", "maps").mapInPandas(rows, "key long, n_shingles long, node long, bitmap binary")
 
-    pieces = docs.select(F.col(text).alias("text")).mapInPandas(index, "shard int, ids binary, sigs binary, at binary")
-    lists = pieces.groupBy("shard").applyInPandas(meet, "nodes binary")
-    return common.written(lists.dropDuplicates(["nodes"]).withColumn("bucket", F.xxhash64("nodes")))
 
+def _members(index: DataFrame) -> DataFrame:
+    """(bucket, node) of an index."""
 
-def _unpacked(lists: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [np.frombuffer(x, dtype=np.int64) for x in pdf["nodes"]]
+            own = [np.frombuffer(x, dtype=np.int64) for x in pdf["ids"]]
             if own:
                 yield pd.DataFrame({"bucket": np.repeat(pdf["bucket"].to_numpy(), [len(x) for x in own]), "node": np.concatenate(own)})
 
-    return lists.select("bucket", "nodes").mapInPandas(rows, "bucket long, node long")
+    return index.where("keys IS NULL").select("bucket", "ids").dropDuplicates(["bucket"]).mapInPandas(rows, "bucket long, node long")
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -289,10 +308,10 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pairs_of(members: DataFrame, most: int) -> DataFrame:
-    """(a, b) with a < b: pairs of a bucket in different components whose bitmaps allow similarity.
+    """(a, b) with a < b: pairs of a bucket in different components whose sizes and bitmaps allow similarity; and (bucket, null) for buckets that may have more of them.
 
     A bucket of up to SMALL_BUCKET members gives all such pairs. A larger one gives a star around its most central member of a few when `most` is 0, else for each member outside
-    its largest component the `most` nearest members of other components; these are all such pairs once `most` reaches the bucket's size.
+    its largest component up to `most` such members of other components, the nearest first.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,17 +321,17 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = np.concatenate([starts[1:], [len(bucket)]])
             two = starts[ends - starts == 2]
-            left, right = [two], [two + 1]
+            left, right, more = [two], [two + 1], []
             for a, b in zip(starts, ends, strict=True):
-                g = b - a
-                if g < 3:
+                g, own = b - a, np.arange(a, b)
+                if g < 3 or (label[a:b] == label[a]).all():
                     continue
-                own = np.arange(a, b)
                 if g <= SMALL_BUCKET:
                     i, j = np.triu_indices(g, 1)
                     left.append(a + i)
                     right.append(a + j)
                 elif not most:
+                    more.append(bucket[a])
                     tried = np.unique(np.linspace(0, g - 1, 24).astype(int)) + a
                     far = [np.minimum(_distance(maps[own], maps[t]), differ(2 * int(n[t]))).sum() for t in tried]
                     left.append(np.full(g, tried[int(np.argmin(far))]))
@@ -321,16 +340,22 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
                     names, counts = np.unique(label[a:b], return_counts=True)
                     for x in own[label[a:b] != names[int(np.argmax(counts))]]:
                         others = own[label[a:b] != label[x]]
-                        near = others if most >= g else others[np.argsort(_distance(maps[others], maps[x]), kind="stable")[:most]]
-                        near = near[_distance(maps[near], maps[x]) <= differ(2 * int(n[x]) * DEN // NUM)]
-                        left.append(np.full(len(near), x))
-                        right.append(near)
+                        d = _distance(maps[others], maps[x])
+                        near = d <= differ(int(n[x]) + int(n[x]) * DEN // NUM)
+                        others, d = others[near], d[near]
+                        if len(others) > most:
+                            more.append(bucket[a])
+                            others = others[np.argsort(d, kind="stable")[:most]]
+                        left.append(np.full(len(others), x))
+                        right.append(others)
             i, j = np.concatenate(left), np.concatenate(right)
             limit = (n[i] + n[j]) - 2 * -(-NUM * (n[i] + n[j]) // (NUM + DEN))
             ok = (label[i] != label[j]) & (np.abs(n[i] - n[j]) <= limit)
             i, j, limit = i[ok], j[ok], limit[ok]
             ok = np.concatenate([_distance(maps[i[k : k + 50_000]], maps[j[k : k + 50_000]]) <= limit[k : k + 50_000] for k in range(0, len(i), 50_000)]) if len(i) else np.empty(0, dtype=bool)
-            a, b = np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
+            i, j = i[ok], j[ok]
+            a = np.concatenate([np.minimum(node[i], node[j]), np.array(more, dtype=np.int64)])
+            b = pd.arrays.IntegerArray(np.concatenate([np.maximum(node[i], node[j]), np.zeros(len(more), dtype=np.int64)]), np.arange(len(a)) >= len(i))
             yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     n = common.partitions(members.sparkSession)
@@ -354,55 +379,54 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, n, shingles, bitmap) for rows (node, key) of documents that have these sets."""
+    """(node, shingles) for rows (node, key) of documents that have these sets."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
         for pdf in batches:
             sets = [shingle(t) for t in pdf["text"]]
-            out = pd.DataFrame({"node": pdf["node"], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "bitmap": [bitmap(s) for s in sets]})
+            out = pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in sets]})
             yield out[[node_id(s) == node for s, node in zip(sets, pdf["node"], strict=True)]]  # rows with equal keys may differ in their texts
 
     few = nodes.count() <= BROADCAST_NODES
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(nodes) if few else nodes, "key").select("node", "text").mapInPandas(scan, "node long, n long, shingles binary, bitmap binary")
-    return common.written(rows.dropDuplicates(["node"]))
+    return common.written(texts.join(F.broadcast(nodes) if few else nodes, "key").select("node", "text").mapInPandas(scan, "node long, shingles binary"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per document row: the size of its set and the smallest key that its links reach.
 
     Null and empty texts, and those without words, have an empty set, link with nothing and are components of their own. Repeated rows and rows with equal sets are linked.
-    Keys must be integers and should be unique; a row with a null key has links only
-    if a row with the same set has a key, and a null component otherwise. Other columns are ignored; texts are used whole.
+    Keys must be integers and should be unique; a row with a null key has links only if a row with the same set has a key, and a null component otherwise. Other columns are
+    ignored; texts are used whole.
     """
-    found = common.written(classes(docs, key, text))
-    total = found.where("n_shingles > 4").groupBy("node").agg(F.first("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
-    labels = None
-    if total:
-        members = common.written(_unpacked(buckets(docs, math.ceil(0.6 * total / SHARD_SIGNATURES), text)))
-        keys = found.where("key IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
-        sets = shingle_sets(docs, common.written(members.select("node").distinct().join(keys, "node")), key, text)
-        known = sets.select("node", "n", "bitmap")
-        links, tested, most, open_ = None, None, 0, members.withColumn("label", F.col("node"))
-        while True:
-            new = pairs_of(open_.join(known, "node"), most)
-            new = common.written(verified(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), sets))
-            tested = new.select("a", "b") if tested is None else tested.unionByName(new.select("a", "b"))
-            if not new.where("linked").isEmpty():
-                links = new.where("linked") if links is None else links.unionByName(new.where("linked"))
-                labels = common.components(links)
-            now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-            several = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("g")).where("x <> y")
-            open_ = common.written(now.join(several.where(F.col("g") > max(SMALL_BUCKET, most)).select("bucket"), "bucket", "left_semi"))
-            if open_.isEmpty():
-                break
-            most = max(16, most * 8)
-    out = found if labels is None else found.join(labels, "node", "left")
-    component = F.col("node") if labels is None else F.coalesce("component", "node")
-    out = out.withColumn("component", component)
-    ends = out.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("least"))
-    out = out.join(ends, "component", "left")
+    index = indexed(docs, key, text)
+    found = common.written(_documents(index))
+    known = found.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
+    keys = found.where("key IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
+    members = _members(index)
+    links = labels = tested = None
+    open_ = members.withColumn("label", F.col("node"))
+    for most in (0, 64, 1 << 60):
+        new = common.written(pairs_of(open_.join(known, "node"), most))
+        pairs = new.where("b IS NOT NULL")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        nodes = common.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"))
+        if not nodes.isEmpty():
+            judged = common.written(verified(pairs, shingle_sets(docs, nodes, key, text)).distinct())
+            tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
+            linked = judged.where("linked").select("a", "b")
+            links = linked if links is None else links.unionByName(linked)
+            labels = common.components(links)
+        more = new.where("b IS NULL").select(F.col("a").alias("bucket"))
+        if more.isEmpty():
+            break
+        open_ = members.join(more, "bucket", "left_semi")
+        open_ = open_.withColumn("label", F.col("node")) if labels is None else open_.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    out = found.withColumn("component", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = out.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("least"))
+    out = out.join(least, "component", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
 
 
