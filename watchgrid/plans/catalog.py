@@ -1,4 +1,10 @@
 """The queries of the engine over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from watchgrid.plans import behaviour
+
+_PARTS = (behaviour,)
+
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
