@@ -87,8 +87,9 @@ def surprisal(trace: DataFrame, prof: Profile) -> DataFrame:
     """Mean surprise of what follows what in a window of at least 15 events."""
     df, w = _within(trace, prof.win)
     surprise = F.array(*[F.lit(-math.log(p)) for row in prof.trans for p in row])
-    step = F.element_at(surprise, F.col("kind") * 6 + F.lead("kind").over(w) + 1)
-    g = df.withColumn("s", step).groupBy("trace_id", "bin").agg(F.count("*").alias("n"), F.max("t").alias("ts"), F.avg("s").alias("x"))
+    # Nulls are cut off before the look-up: in an aggregate, Spark 4.1 reads element_at of a literal array at a null index as a value.
+    step = F.when(F.col("next").isNotNull(), F.element_at(surprise, F.coalesce(F.col("kind") * 6 + F.col("next"), F.lit(0)) + 1))
+    g = df.withColumn("next", F.lead("kind").over(w)).withColumn("s", step).groupBy("trace_id", "bin").agg(F.count("*").alias("n"), F.max("t").alias("ts"), F.avg("s").alias("x"))
     return _series(g.where("n >= 15"), "ts", F.col("x"))
 
 
