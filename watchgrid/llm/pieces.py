@@ -26,7 +26,7 @@ from watchgrid.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of distinct chunks that are matched at a time, chunks that a task remembers, and the longest chunk that is relaxed along with all others.
-BATCH_CHARS, REMEMBERED, LONG = 1_500_000, 600_000, 48
+BATCH_CHARS, REMEMBERED, LONG = 300_000, 400_000, 48
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -80,7 +80,14 @@ class Model:
     def edges(self, text: str, starts: np.ndarray) -> np.ndarray:
         """(positions, longest) table: id of the piece of length k + 1 that starts at a position, or -1. No edge leaves the chunk (starting at `starts`) that it begins in."""
         codes = self._codes(text)
-        n, base = len(codes), len(self.alphabet) + 1
+        # Only characters of this text matter, and pieces made of them: they are renumbered in order, so that more of them fit into a word.
+        present = np.zeros(len(self.alphabet) + 1, dtype=bool)
+        present[codes] = True
+        present[0] = True
+        number = np.cumsum(present) - 1
+        used = np.flatnonzero(present[self.rows].all(axis=1))
+        codes, rows, lengths, normal = number[codes], number[self.rows[used]], self.lengths[used], self.normal[used]
+        n, base = len(codes), int(number[-1]) + 1
         # The suffixes' first characters, several to a word; the end of a chunk reads as 0, like an uncovered character.
         end_of = np.repeat(np.concatenate([starts[1:], [n]]), np.diff(np.concatenate([starts, [n]])))
         per = int(62 // np.log2(max(base, 2)))
@@ -101,22 +108,22 @@ class Model:
         order = np.lexsort(keys[::-1])  # the suffix array, to the depth that pieces need
         keys = [k[order] for k in keys]
         # Suffixes with a piece as prefix are those from the piece followed by zeros up to the piece followed by the largest characters.
-        cols = self.rows.T
-        low = packed(lambda k: cols[k] if k < self.longest else np.zeros(len(self.normal), dtype=np.int64))
-        high = packed(lambda k: np.where(self.lengths > k, cols[k], base - 1) if k < self.longest else np.zeros(len(self.normal), dtype=np.int64))
+        cols, none = rows.T, np.zeros(len(used), dtype=np.int64)
+        low = packed(lambda k: cols[k] if k < self.longest else none)
+        high = packed(lambda k: np.where(lengths > k, cols[k], base - 1) if k < self.longest else none)
         lo, hi = _search(keys, low, "left"), _search(keys, high, "right")
         counts = hi - lo
-        piece = np.repeat(np.arange(len(self.normal)), counts)
+        piece = np.repeat(np.arange(len(used)), counts)
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         position = order[np.repeat(lo, counts) + within]
         table = np.full((n, self.longest), -1, dtype=np.int32)  # edges by position and length
-        table[position, self.lengths[piece] - 1] = self.normal[piece]
+        table[position, lengths[piece] - 1] = normal[piece]
         return table
 
     # --------------------------------------------------------------- relaxation
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk."""
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many each has."""
         text, sizes = "".join(chunks), np.array([len(c) for c in chunks], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         table = self.edges(text, starts)
@@ -125,20 +132,22 @@ class Model:
         lost = np.flatnonzero(ids < 0)
         if len(lost):  # uncovered characters, one symbol each (unigram models join neighbouring ones first)
             return self._with_bytes(text, first, length, owner, ids, len(chunks))
-        return np.split(ids, np.searchsorted(owner, np.arange(1, len(chunks))))
-
-    def _with_bytes(self, text, first, length, owner, ids, n) -> list[np.ndarray]:
-        out: list[list[int]] = [[] for _ in range(n)]
-        gap = -1
-        for a, k, o, i in zip(first.tolist(), length.tolist(), owner.tolist(), ids.tolist(), strict=True):
-            if i >= 0:
-                out[o].append(i)
-            elif self.bytes:
-                out[o] += [self.bytes[b] for b in text[a : a + k].encode("utf-8", "replace")]
-            elif self.bpe or gap != a or not out[o]:
-                out[o].append(self.unknown)
-            gap = a + k if i < 0 else -1
-        return [np.array(x, dtype=np.int32) for x in out]
+        return ids, np.bincount(owner, minlength=len(chunks))
+
+    def _with_bytes(self, text, first, length, owner, ids, n) -> tuple[np.ndarray, np.ndarray]:
+        covered = ids >= 0
+        if not self.bytes:  # one unknown piece, in unigram models for a whole run of characters
+            after = np.concatenate([[False], ~covered[:-1] & (owner[1:] == owner[:-1])])
+            ids = np.where(covered, ids, self.unknown)
+            keep = covered | self.bpe | ~after
+            return ids[keep], np.bincount(owner[keep], minlength=n)
+        lost = np.flatnonzero(~covered)
+        spelled = [[self.bytes[b] for b in text[a : a + k].encode("utf-8", "replace")] for a, k in zip(first[lost].tolist(), length[lost].tolist(), strict=True)]
+        count = np.ones(len(ids), dtype=np.int64)
+        count[lost] = [len(x) for x in spelled]
+        out = np.repeat(ids, count)
+        out[out < 0] = np.concatenate([np.array(x, dtype=np.int32) for x in spelled])
+        return out, np.bincount(np.repeat(owner, count), minlength=n)
 
     def _merge(self, table, starts, sizes):
         """Symbols (first, length, chunk) after all merges."""
@@ -291,7 +300,12 @@ class Encoder:
     """Texts to ids; remembers the ids of a bounded number of chunks."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.ids = model, {}, []
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.counts = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -302,30 +316,33 @@ class Encoder:
 
     def __call__(self, texts) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known, self.ids = {}, []
-        known, parts = self.known, []
+            self._forget()
+        known, parts, flats, counts = self.known, [], [self.flat], [self.counts]
         new: list[str] = []
         size = 0
+
+        def match() -> None:
+            ids, n = self.model.encode_chunks(new)
+            flats.append(ids)
+            counts.append(n)
+
         for t in texts:
             own = self.chunks(t or "")
             for c in set(own).difference(known):
                 known[c] = len(known)
                 new.append(c)
                 size += len(c)
-            parts.append(np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own)))
+            parts.append(np.fromiter(map(known.__getitem__, own), dtype=np.int32, count=len(own)))
             if size >= BATCH_CHARS:
-                self.ids += self.model.encode_chunks(new)
+                match()
                 new, size = [], 0
         if new:
-            self.ids += self.model.encode_chunks(new)
-        if not self.ids:
-            yield from (np.empty(0, dtype=np.int32) for _ in parts)
-            return
-        flat, n = np.concatenate(self.ids), np.array([len(x) for x in self.ids], dtype=np.int64)
-        starts = np.cumsum(n) - n
+            match()
+        self.flat, self.counts = np.concatenate(flats).astype(np.int32, copy=False), np.concatenate(counts)
+        starts = np.cumsum(self.counts) - self.counts
         for own in parts:
-            count = n[own]
-            yield flat[np.repeat(starts[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            count = self.counts[own]
+            yield self.flat[np.repeat(starts[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -338,13 +355,19 @@ def load(path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _sliced(batches: Iterator[pd.Series], rows: int = 500) -> Iterator[pd.Series]:
+    for s in batches:
+        for k in range(0, max(len(s), 1), rows):
+            yield s.iloc[k : k + rows]
+
+
 def encode(text: Column, path: str = MODEL) -> Column:
     """Array of ids of a text column; empty for null and empty texts."""
     raw = load(path)
 
     def ids(batches):
         encoder = Encoder(_model(raw))
-        for s in batches:
+        for s in _sliced(batches):
             yield pd.Series(list(encoder(s)), index=s.index, dtype=object)
 
     ids.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}  # types, not their names, decide the kind of a pandas UDF
@@ -366,11 +389,21 @@ def decode(ids: Column, path: str = MODEL) -> Column:
 def tokenize(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_ids, ids, restored) per document row: the ids of the whole text and whether decoding them gives the text back.
 
-    Null and empty texts have no ids. Repeated rows give repeated results; other columns are ignored. Decoding loses one leading space of a text that begins with U+2581, which
-    the model cannot tell from a space.
+    Null and empty texts have no ids. Repeated rows give repeated results; other columns are ignored. Texts that hold U+2581 come back with spaces in its place, as the model
+    cannot tell the two apart.
     """
-    out = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"), encode(F.col(text), path).alias("ids"))
-    return out.select(key, F.size("ids").cast("long").alias("n_ids"), "ids", (decode(F.col("ids"), path) == F.col("t")).alias("restored"))
+    raw = load(path)
+
+    def both(batches):
+        model = _model(raw)
+        encoder = Encoder(model)
+        for s in _sliced(batches):
+            ids = list(encoder(s))
+            yield pd.DataFrame({"ids": ids, "restored": [model.decode(x.tolist()) == t for x, t in zip(ids, s, strict=True)]}, index=s.index)
+
+    both.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    out = docs.select(F.col(key), F.pandas_udf(both, "ids array<int>, restored boolean")(F.coalesce(F.col(text), F.lit(""))).alias("p"))
+    return out.select(key, F.size("p.ids").cast("long").alias("n_ids"), "p.ids", "p.restored")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
