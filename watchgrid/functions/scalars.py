@@ -85,6 +85,13 @@ def harm_score(harm: Column) -> Column:
     return reduce(lambda total, x: total + F.coalesce(F.try_element_at(harm, F.lit(x[0])), F.lit(0.0)) / x[1], HARM_UNITS.items(), F.lit(0.0))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's correlation over rows where both are there; null where either is constant (Spark's own raises then in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 # ------------------------------------------------------------------------ text
 
 # Classes of tokens that would flood a vocabulary, in the order of their masking.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchgrid import model
+from watchgrid.functions import scalars
 
 ORDER = ["t", "seq"]
 
@@ -56,7 +57,7 @@ def statistics(trace: DataFrame) -> DataFrame:
     w = Window.partitionBy("trace_id").orderBy(*ORDER)
     r = trace.where("chan = 0").withColumn("gap", F.col("t") - F.lag("t").over(w))
     values = trace.where("chan = 0 AND value IS NOT NULL").withColumn("before", F.lag("value").over(w))
-    rho = values.groupBy("trace_id").agg(F.count("*").alias("nv"), F.stddev_pop("value").alias("sv"), F.corr("before", "value").alias("c"))
+    rho = values.groupBy("trace_id").agg(F.count("*").alias("nv"), F.stddev_pop("value").alias("sv"), scalars.correlation(F.col("before"), F.col("value")).alias("c"))
     rho = rho.select("trace_id", F.when((F.col("nv") < 30) | (F.col("sv") < 1e-9), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.95), F.coalesce("c", F.lit(0.0))))).alias("value_rho"))
     k = F.col("kind")
     quiet, net = F.when((F.col("size") > 0) & (k != model.NET), F.log("size")), F.when((F.col("size") > 0) & (k == model.NET), F.log("size"))

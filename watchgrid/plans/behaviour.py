@@ -100,7 +100,7 @@ QUERIES, ORACLE_SQL = {}, {}
 
 
 def _round(df, *names, places=6):
-    return df.withColumns({n: F.round(n, places) for n in names})
+    return df.withColumns({n: F.round(n, places) + 0.0 for n in names})
 
 
 def _lens_query(name):

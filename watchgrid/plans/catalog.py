@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from watchgrid.plans import accounts, behaviour
+from watchgrid.plans import accounts, behaviour, ensemble
 
-_PARTS = (behaviour, accounts)
+_PARTS = (behaviour, accounts, ensemble)
 
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
