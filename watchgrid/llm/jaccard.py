@@ -39,9 +39,13 @@ NUM, DEN = 80, 100
 #: Cost of one expected collision of a small subset against one written signature.
 COLLISION_COST = 50.0
 BITMAP = 1024
+#: Signatures that a task holds before it packs them.
+PIECE_SIGNATURES = 1_000_000
 #: Ids of nodes are broadcast to fetch their texts only up to this many (16 MB); above, texts are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
-SMALL_BUCKET = 64
+SMALL_BUCKET = 3
+#: Members of a larger bucket that may become its centre; a centre needs this share of the best one's reach.
+TRIED, REACH = 24, 0.9
 
 _U = np.uint64
 
@@ -52,7 +56,7 @@ _U = np.uint64
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes; words are hashed once and kept up to a bounded number."""
 
-    def __init__(self, n: int = WORDS, keep: int = 400_000):
+    def __init__(self, n: int = WORDS, keep: int = 150_000):
         import xxhash
 
         self.n, self.keep, self.hash, self.known = n, keep, xxhash.xxh3_64_intdigest, {}
@@ -215,7 +219,7 @@ def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                     held += len(got[0])
             keys = np.stack([pdf["key"].to_numpy(dtype=np.int64), pdf["has"].to_numpy(dtype=np.int64)])
             yield pd.DataFrame([(own[0] % shards, np.array(own, dtype=np.int64).tobytes(), None, np.array(sizes, dtype=np.int64).tobytes(), keys.tobytes(), b"".join(maps))], columns=columns)
-            if held >= 4_000_000:
+            if held >= PIECE_SIGNATURES:
                 yield packed()
                 nodes, sigs, owner, seen, held = [], [], [], set(), 0
         if held:
@@ -310,7 +314,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def pairs_of(members: DataFrame, most: int) -> DataFrame:
     """(a, b) with a < b: pairs of a bucket in different components whose sizes and bitmaps allow similarity; and (bucket, null) for buckets that may have more of them.
 
-    A bucket of up to SMALL_BUCKET members gives all such pairs. A larger one gives a star around its most central member of a few when `most` is 0, else for each member outside
+    A bucket of up to SMALL_BUCKET members gives all such pairs. A larger one gives a star around a central member, one of the first few, when `most` is 0, else for each member outside
     its largest component up to `most` such members of other components, the nearest first.
     """
 
@@ -332,9 +336,9 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
                     right.append(a + j)
                 elif not most:
                     more.append(bucket[a])
-                    tried = np.unique(np.linspace(0, g - 1, 24).astype(int)) + a
-                    far = [np.minimum(_distance(maps[own], maps[t]), differ(2 * int(n[t]))).sum() for t in tried]
-                    left.append(np.full(g, tried[int(np.argmin(far))]))
+                    # Members are in the order of their ids, so that buckets of one group try the same few and mostly take the same: the first that reaches nearly as many as any.
+                    reach = [int((_distance(maps[own], maps[t]) <= differ(2 * int(n[t]))).sum()) for t in own[:TRIED]]
+                    left.append(np.full(g, a + next(i for i, x in enumerate(reach) if x >= REACH * max(reach))))
                     right.append(own)
                 else:  # a pair of two components has a member outside the largest one
                     names, counts = np.unique(label[a:b], return_counts=True)
@@ -359,7 +363,7 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
             yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     n = common.partitions(members.sparkSession)
-    return members.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(pairs, "a long, b long").distinct()
+    return members.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInPandas(pairs, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
