@@ -62,7 +62,7 @@ def monitor_correlations(spark, sf_dir):
 
 QUERIES["monitor_correlations"] = monitor_correlations
 _NAN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
-ORACLE_SQL["monitor_correlations"] = f"""WITH {_DM} SELECT a.monitor AS a, b.monitor AS b, min(CAST(a.detected = b.detected AS INT)) AS same, round({_NAN.format("corr(CAST(a.detected AS DOUBLE), CAST(b.detected AS DOUBLE))")}, 6) AS corr
+ORACLE_SQL["monitor_correlations"] = f"""WITH {_DM} SELECT a.monitor AS a, b.monitor AS b, min(CAST(a.detected = b.detected AS INT)) AS same, round({_NAN.format("corr(CAST(a.detected AS DOUBLE), CAST(b.detected AS DOUBLE))")}, 6) + 0.0 AS corr
 FROM dm a JOIN dm b ON a.item = b.item AND a.monitor < b.monitor GROUP BY 1, 2"""
 
 

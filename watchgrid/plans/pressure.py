@@ -1,0 +1,102 @@
+"""Queries on attacks, drift and lineage."""
+
+from __future__ import annotations
+
+from dataclasses import asdict
+
+from pyspark.sql import functions as F
+
+from watchgrid.operators import attacks, drift, lenses, profile, stack, weights
+from watchgrid.plans import behaviour
+from watchgrid.plans.behaviour import _round
+from watchgrid.sources import files, views
+
+QUERIES, ORACLE_SQL = {}, {}
+_FAST = ("burst", "sweep", "ctrl", "netvol", "books", "drift_chain")
+
+
+def library_events(spark, sf_dir):
+    """How many events of each kind and channel the known attacks have."""
+    specs = [attacks.Spec(n, p, t0=1000.0) for n, p in attacks.LIBRARY.items()]
+    return attacks.render(spark, specs).groupBy("attack", "kind", "chan").agg(F.count("*").alias("n"))
+
+
+QUERIES["library_events"] = library_events
+
+
+def incident_events(spark, sf_dir):
+    out = None
+    for n in files.list_incidents():
+        own = attacks.incident(files.incident_phases(spark, n)).groupBy("attack", "chan").agg(F.count("*").alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+QUERIES["incident_events"] = incident_events
+ORACLE_SQL["incident_events"] = "SELECT * FROM (VALUES ('hf_2026_07', 0, CAST(16521 AS BIGINT)), ('hf_2026_07', 1, 16521), ('miasma_2026_06', 0, 35), ('miasma_2026_06', 1, 35)) x(attack, chan, n)"
+
+
+def _cal(spark, sf_dir, names):
+    trace = views.chunks(spark, sf_dir)
+    s = stack.scores(lenses.series(trace, behaviour.PROFILE, names), trace, names).join(F.broadcast(stack.split_chronological(trace)), "trace_id")
+    return trace, s
+
+
+def detection_curves(spark, sf_dir):
+    trace, s = _cal(spark, sf_dir, _FAST)
+    th = stack.calibrate(s.where("part = 'cal'"), len(_FAST))
+    bases = [r["trace_id"] for r in s.where("part = 'val'").select("trace_id").distinct().orderBy("trace_id").limit(8).collect()]
+    stats = profile.scale_statistics(trace).first().asDict()
+    return attacks.detection_curves(trace, behaviour.PROFILE, _FAST, bases, th, stats, asdict(behaviour.PROFILE)["p_kind"])
+
+
+QUERIES["detection_curves"] = detection_curves
+
+
+def transfer_matrix(spark, sf_dir):
+    """Chunks of even and odd days as two groups: thresholds of one on the other."""
+    s = behaviour._scores(spark, sf_dir)
+    groups = s.select("trace_id").distinct().withColumn("grp", F.when(F.floor(F.col("trace_id") / 2) % 2 == 0, "even").otherwise("odd"))
+    return _round(drift.transfer(s, groups, len(behaviour.PLAIN)), "rate", "low", "high")
+
+
+QUERIES["transfer_matrix"] = transfer_matrix
+_P = "(p + 3.8416 / (2 * n) {0} 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)"
+ORACLE_SQL["transfer_matrix"] = f"""WITH {behaviour._scores_sql()},
+g AS (SELECT trace_id, CASE WHEN (trace_id // 2) % 2 = 0 THEN 'even' ELSE 'odd' END AS grp FROM big), o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY trace_id) <= floor(count(*) OVER (PARTITION BY grp) * 0.6) AS cal FROM g),
+t AS (SELECT grp AS a, lens, list_sort(list(score))[CAST(ceil((1 - 0.05 / {len(behaviour.PLAIN)}) * (count(*) - 1)) AS INT) + 1] AS tau FROM sc JOIN o USING (trace_id) WHERE cal GROUP BY 1, 2),
+h AS (SELECT t.a, o.grp AS b, sc.trace_id, max(CAST(score > tau AS INT)) AS alarm FROM sc JOIN o USING (trace_id) JOIN t USING (lens) WHERE NOT cal GROUP BY 1, 2, 3),
+rt AS (SELECT a, b, count(*) AS n, CAST(sum(alarm) AS BIGINT) AS alarms, sum(alarm) / count(*) AS p FROM h GROUP BY 1, 2)
+SELECT a, b, n, alarms, round(p, 6) AS rate, round(greatest(0.0, {_P.format("-")}), 6) AS low, round(least(1.0, {_P.format("+")}), 6) AS high FROM rt"""
+
+
+def time_drift(spark, sf_dir):
+    return _round(drift.time_drift(behaviour._scores(spark, sf_dir), len(behaviour.PLAIN)), "rate")
+
+
+QUERIES["time_drift"] = time_drift
+ORACLE_SQL["time_drift"] = f"""WITH {behaviour._scores_sql()},
+b AS (SELECT trace_id, CAST(greatest(0, floor((row_number() OVER (ORDER BY trace_id) - 1) * 5 / count(*) OVER ()) - 1) AS INT) AS block FROM big),
+t AS (SELECT lens, list_sort(list(score))[CAST(ceil((1 - 0.05 / {len(behaviour.PLAIN)}) * (count(*) - 1)) AS INT) + 1] AS tau FROM sc JOIN b USING (trace_id) WHERE block = 0 GROUP BY lens),
+h AS (SELECT block, trace_id, max(CAST(score > tau AS INT)) AS alarm FROM sc JOIN b USING (trace_id) JOIN t USING (lens) WHERE block > 0 GROUP BY 1, 2)
+SELECT block, count(*) AS n, CAST(sum(alarm) AS BIGINT) AS alarms, round(sum(alarm) / count(*), 6) AS rate FROM h GROUP BY block"""
+
+
+def ablation(spark, sf_dir):
+    return drift.ablation(behaviour._scores(spark, sf_dir), behaviour.PLAIN, "books")
+
+
+QUERIES["ablation"] = ablation
+
+
+def lineage(spark, sf_dir):
+    """A signature embedded into the embeddings as one vector, and recovered."""
+    v = views.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("chunk"), "vec_id", "embedding")
+    v = v.groupBy("chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"].cast("array<double>"))).alias("v"))
+    sig = weights.signature(4, 1)
+    signed = weights.embed(v, b"key", sig)
+    rows = [(n, r["agree"], r["n_bits"], r["lineage"]) for n, r in (("signed", weights.verify(signed, b"key", sig)), ("other key", weights.verify(signed, b"other", sig)))]
+    return spark.createDataFrame(rows, "vector string, agree int, n_bits int, lineage string")
+
+
+QUERIES["lineage"] = lineage

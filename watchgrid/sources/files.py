@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchgrid import model
 from watchgrid.functions import scalars
+from watchgrid.sources.incidents import INCIDENTS
 
 #: Loaders that plug-ins add: name -> function of (spark, path) that gives trace events.
 LOADERS: dict = {}
@@ -165,7 +165,7 @@ INCIDENT_SCHEMA = "name string, note string, source string, duration_s double, p
 def read_incident(spark: SparkSession, path: str) -> DataFrame:
     """One row per phase of a recorded incident."""
     df = spark.read.schema(INCIDENT_SCHEMA).json(path, multiLine=True)
-    return df.select("name", "duration_s", "net_bytes_range", F.posexplode("phases").alias("phase_no", "p")).select("name", "duration_s", "net_bytes_range", "phase_no", "p.*")
+    return df.select("name", "duration_s", "net_bytes_range", F.posexplode("phases").alias("phase_no", "p")).select(F.col("name").alias("incident"), "duration_s", "net_bytes_range", "phase_no", "p.*")
 
 
 def snapshot(spark: SparkSession, paths: list[str], t: float) -> DataFrame:
@@ -185,11 +185,11 @@ def snapshot(spark: SparkSession, paths: list[str], t: float) -> DataFrame:
 
 
 def list_incidents() -> list[str]:
-    return sorted(p.name.removesuffix(".json") for p in resources.files("watchgrid.sources").joinpath("incidents").iterdir() if p.name.endswith(".json"))
+    return sorted(INCIDENTS)
 
 
 def incident_phases(spark: SparkSession, name: str) -> DataFrame:
-    """Phases of an incident that comes with the library."""
-    raw = resources.files("watchgrid.sources").joinpath("incidents", f"{name}.json").read_text()
-    rows = spark.createDataFrame([(json.dumps(json.loads(raw)),)], "value string")
-    return rows.select(F.from_json("value", INCIDENT_SCHEMA).alias("r")).select("r.*").select("name", "duration_s", "net_bytes_range", F.posexplode("phases").alias("phase_no", "p")).select("name", "duration_s", "net_bytes_range", "phase_no", "p.*")
+    """Phases of an incident that comes with the library, as read_incident gives them."""
+    row = json.dumps({"name": name, **INCIDENTS[name]})
+    found = spark.createDataFrame([(row,)], "value string").select(F.from_json("value", INCIDENT_SCHEMA).alias("r"))
+    return found.select("r.*").select("name", "duration_s", "net_bytes_range", F.posexplode("phases").alias("phase_no", "p")).select(F.col("name").alias("incident"), "duration_s", "net_bytes_range", "phase_no", "p.*")
