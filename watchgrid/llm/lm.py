@@ -29,7 +29,7 @@ HELD = 10
 ROUNDS = 25
 BUCKETS = 40
 #: Bytes of a scan partition that make one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 
 _U = np.uint64
 _ONE = _U(1)
@@ -123,7 +123,7 @@ class Model:
 
     def __init__(self, docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS):
         spark = docs.sparkSession
-        self.shards = shards = common.partitions(spark)
+        self.shards = shards = 2 * common.partitions(spark)
         fine = max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // BLOCK_BYTES)
         part = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(HELD)) == 0
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
