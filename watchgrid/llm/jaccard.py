@@ -41,8 +41,8 @@ COLLISION_COST = 50.0
 BITMAP = 1024
 #: Signatures that a task holds before it packs them.
 PIECE_SIGNATURES = 1_000_000
-#: Ids of nodes are broadcast to fetch their texts only up to this many (16 MB); above, texts are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+#: Rows of two ids are broadcast only up to this many (16 MB); above, the join is a shuffle.
+BROADCAST_ROWS = 1_000_000
 SMALL_BUCKET = 3
 #: Members of a larger bucket that may become its centre; a centre needs this share of the best one's reach.
 TRIED, REACH = 24, 0.9
@@ -367,7 +367,7 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) by exact intersection of the sets."""
+    """(a, b, linked) by exact intersection of the sets. pairs is read twice; up to BROADCAST_ROWS of them meet the first set without a shuffle."""
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -378,7 +378,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(DEN * both >= NUM * (len(s) + len(t) - both))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": linked})
 
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    few = pairs.count() <= BROADCAST_ROWS
+    one = (F.broadcast(pairs) if few else pairs).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y").mapInPandas(test, "a long, b long, linked boolean")
 
 
@@ -392,7 +393,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> Data
             out = pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in sets]})
             yield out[[node_id(s) == node for s, node in zip(sets, pdf["node"], strict=True)]]  # rows with equal keys may differ in their texts
 
-    few = nodes.count() <= BROADCAST_NODES
+    few = nodes.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return common.written(texts.join(F.broadcast(nodes) if few else nodes, "key").select("node", "text").mapInPandas(scan, "node long, shingles binary"))
 
@@ -416,6 +417,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         pairs = new.where("b IS NOT NULL")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = common.written(pairs)
         nodes = common.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"))
         if not nodes.isEmpty():
             judged = common.written(verified(pairs, shingle_sets(docs, nodes, key, text)).distinct())
