@@ -89,8 +89,8 @@ def node_id(shingles: np.ndarray) -> int:
         return int(mix(np.array([total]))[0] | _U(1)) - (1 << 63)
 
 
-def differ(size: int) -> int:
-    """Most elements in which two similar sets differ when their sizes sum to `size`: intersection >= NUM * size / (NUM + DEN)."""
+def differ(size):
+    """Most elements in which two similar sets differ when their sizes sum to `size` (numbers or arrays): intersection >= NUM * size / (NUM + DEN). It does not grow steadily."""
     return size - 2 * -(-NUM * size // (NUM + DEN))
 
 
@@ -210,7 +210,7 @@ def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 node = node_id(s)
                 own.append(node)
                 sizes.append(len(s))
-                maps.append(bitmap(s) if differ(2 * len(s)) else bytes(BITMAP // 8))
+                maps.append(bitmap(s))
                 if node not in seen and len((got := signatures(s))[0]):
                     seen.add(node)
                     owner.append(np.full(len(got[0]), len(nodes) << 1, dtype=np.uint32) | got[1])
@@ -224,6 +224,8 @@ def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 nodes, sigs, owner, seen, held = [], [], [], set(), 0
         if held:
             yield packed()
+        del nodes, sigs, owner, seen, shingle
+        common.release()
 
     def meet(pieces: pd.DataFrame) -> pd.DataFrame:
         told = pieces[pieces["sigs"].isna()][["ids", "at", "keys", "maps"]]
@@ -247,11 +249,13 @@ def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         sig, node, whole = sig[order], node[order], whole[order]
         lists = set()
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
-        for a, b in zip(starts, [*starts[1:], len(sig)], strict=True):
+        for a, b in zip(starts, [*starts[1:], len(sig)], strict=False):  # no shared signature: no starts
             own = node[a:b]
             if own[0] != own[-1] and whole[a:b].any():
                 lists.add(own[np.concatenate([[True], own[1:] != own[:-1]])].tobytes())
         found = [(x, hash_of(x)) for x in lists]
+        del sig, node, whole, order, at, pieces
+        common.release()
         return pd.concat([told.assign(bucket=None), pd.DataFrame({"ids": [x for x, _ in found], "at": None, "keys": None, "maps": None, "bucket": [h for _, h in found]})])
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNotNull().alias("has"), F.col(text).alias("text"))
@@ -345,7 +349,7 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
                     for x in own[label[a:b] != names[int(np.argmax(counts))]]:
                         others = own[label[a:b] != label[x]]
                         d = _distance(maps[others], maps[x])
-                        near = d <= differ(int(n[x]) + int(n[x]) * DEN // NUM)
+                        near = d <= differ(n[others] + n[x])
                         others, d = others[near], d[near]
                         if len(others) > most:
                             more.append(bucket[a])
@@ -353,7 +357,7 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
                         left.append(np.full(len(others), x))
                         right.append(others)
             i, j = np.concatenate(left), np.concatenate(right)
-            limit = (n[i] + n[j]) - 2 * -(-NUM * (n[i] + n[j]) // (NUM + DEN))
+            limit = differ(n[i] + n[j])
             ok = (label[i] != label[j]) & (np.abs(n[i] - n[j]) <= limit)
             i, j, limit = i[ok], j[ok], limit[ok]
             ok = np.concatenate([_distance(maps[i[k : k + 50_000]], maps[j[k : k + 50_000]]) <= limit[k : k + 50_000] for k in range(0, len(i), 50_000)]) if len(i) else np.empty(0, dtype=bool)

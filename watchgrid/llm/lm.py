@@ -154,6 +154,7 @@ class Model:
                 del block
                 if held.any():
                     yield _Block(own["text"][held], shards).pieces(b + 1)
+            common.release()
 
         def add(pieces: pd.DataFrame) -> pd.DataFrame:
             at, keys = pd.factorize(np.concatenate([np.frombuffer(x, dtype=_U) for x in pieces["keys"]]))
@@ -169,6 +170,8 @@ class Model:
             rows = [(b, s, small[b % 2][a].tobytes(), 0, 0) for b, s, a in zip(pieces["block"], pieces["shard"], own, strict=True)]
             words = (keys & _ONE == 0) & (keys != _CONTEXT)
             rows += [(-1 - k, int(pieces["shard"].iloc[0]), b"", int(x[words].sum()), int((x[words] > 0).sum())) for k, x in enumerate(n)]
+            del at, own, keys, total, n, small, words
+            common.release()
             return pd.DataFrame(rows, columns=["block", "shard", "n", "sum", "kinds"])
 
         sent = self.rows.select("block", "text", "train", "held").mapInPandas(send, "shard int, block long, keys binary, kept binary, held binary")
@@ -234,6 +237,8 @@ class Model:
             p = lam * pair / np.maximum(context, 1) + (1 - lam) * p
             add = lambda x: np.add.reduceat(x, block.starts)  # noqa: E731  every document has its end
             out = {"n_tokens": block.sizes, "n_known": add((word > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(np.log10(p))}
+            del block, n, word, context, pair, base, p, lam
+            common.release()
             return texts[["key", "extra"]].reset_index(drop=True).assign(**out)
 
         rows = self.rows.withColumn("extra", F.lit(None).cast("boolean") if extra is None else extra).select("block", "key", "text", "extra")

@@ -369,6 +369,8 @@ def encode(text: Column, path: str = MODEL) -> Column:
         encoder = Encoder(_model(raw))
         for s in _sliced(batches):
             yield pd.Series(list(encoder(s)), index=s.index, dtype=object)
+        del encoder
+        common.release()
 
     ids.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}  # types, not their names, decide the kind of a pandas UDF
     return F.pandas_udf(ids, "array<int>")(F.coalesce(text, F.lit("")))
@@ -400,6 +402,8 @@ def tokenize(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str
         for s in _sliced(batches):
             ids = list(encoder(s))
             yield pd.DataFrame({"ids": ids, "restored": [model.decode(x.tolist()) == t for x, t in zip(ids, s, strict=True)]}, index=s.index)
+        del encoder
+        common.release()
 
     both.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     out = docs.select(F.col(key), F.pandas_udf(both, "ids array<int>, restored boolean")(F.coalesce(F.col(text), F.lit(""))).alias("p"))
