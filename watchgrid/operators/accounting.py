@@ -85,8 +85,9 @@ def reviewed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def reconcile(records: DataFrame, sla_hours: float = 24.0, tol: float = 60.0, end_t: float | None = None) -> DataFrame:
     """Findings: (kind, artifact, t, state)."""
-    s = states(records, tol)
+    s = tables.written(states(records, tol))  # read for its findings and its final states
     changes, unknown = reviewed(records)
+    changes = tables.written(changes)
     own = s.where("finding IS NOT NULL").select(F.col("finding").alias("kind"), "artifact", "t", F.coalesce("new", "known").alias("state"))
     lost = unknown.select(F.lit("UNKNOWN_REVIEW").alias("kind"), "artifact", "t", F.col("new").alias("state"))
     final = s.groupBy("artifact").agg(F.max_by("known", F.struct(*_ORDER)).alias("final"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from watchgrid.functions import scalars
 from watchgrid.operators import rewrites
+from watchgrid.sources import tables
 
 OFFSETS = (3.0, 4.0, 5.0, 6.0)
 ANYONE = ("all", "*", "broadcast")
@@ -82,11 +83,11 @@ def null_bar(tokens: DataFrame, vocab: DataFrame, outs: DataFrame, rounds: int =
 
 def ground(messages: DataFrame, actions: DataFrame, windows=(30.0, 300.0, 1800.0), rounds: int = 100, alpha: float = 0.05, most: int = 500, least: int = 8, seed: int = 0) -> DataFrame:
     """(token, label, window, z, lift, n): the best pair of each token whose z is above the null's bar in any window; hits at least 3."""
-    tokens = tokens_of(messages)
-    vocab = vocabulary(tokens, messages.count(), most, least)
+    tokens = tables.written(tokens_of(messages))
+    vocab = tables.written(vocabulary(tokens, messages.count(), most, least))
     out, bar = None, -math.inf
     for w in windows:
-        outs = outcomes(messages, actions, w)
+        outs = tables.written(outcomes(messages, actions, w))
         bar = max(bar, null_bar(tokens, vocab, outs, rounds, alpha, seed))
         own = grounding(tokens, vocab, outs).withColumn("window", F.lit(w))
         out = own if out is None else out.unionByName(own)
@@ -102,7 +103,7 @@ def informativeness(messages: DataFrame, actions: DataFrame, window: float = 300
     and against outcomes with random signs for the null.
     """
     spark = messages.sparkSession
-    tokens = tokens_of(messages)
+    tokens = tables.written(tokens_of(messages))
     vocab = [r["token"] for r in vocabulary(tokens, messages.count(), most, least).collect()]
     if not vocab:
         return []
@@ -112,7 +113,7 @@ def informativeness(messages: DataFrame, actions: DataFrame, window: float = 300
     gram = np.zeros((folds, len(vocab), len(vocab)))
     for f, i, j, n in pairs:
         gram[f, i, j] = n
-    outs = outcomes(messages, actions, window)
+    outs = tables.written(outcomes(messages, actions, window))
     labels = [r["label"] for r in outs.groupBy("label").agg(F.sum("hit").alias("p"), F.count("*").alias("n")).where("p >= 25 AND n - p >= 25").orderBy("label").collect()]
     inverse = [np.linalg.inv(gram.sum(axis=0) - gram[f] + ridge * np.eye(len(vocab))) for f in range(folds)]
     out = []
@@ -191,11 +192,12 @@ def coordination(actions: DataFrame, width: float = 30.0, rounds: int = 100, alp
     spark, n = actions.sparkSession, n_windows(actions, width)
     if n < least_windows:
         return spark.createDataFrame([], "a string, b string, mi double, expected double, excess double, p double, flagged boolean")
-    seen = presence(actions, width)
+    seen = tables.written(presence(actions, width))
     mi = mutual_information(seen, n)
     total = mi.count()
     top = mi.orderBy(F.desc("mi"), "a", "b").limit(most_pairs)
-    lv = levels(actions, width)
+    top = tables.written(top)
+    lv = tables.written(levels(actions, width))
     strata = top.select("a", "b").join(lv.withColumnsRenamed({"agent": "a", "level": "la"}), "a").join(lv.withColumnsRenamed({"agent": "b", "level": "lb"}), ["b", "w"]).select("a", "b", "w", (F.col("la") * 3 + F.col("lb")).alias("s"))
     fan = strata.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     own = Window.partitionBy("a", "b", "r", "s")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from watchgrid import model
 from watchgrid.functions import scalars
 from watchgrid.operators import lenses, profile, stack
-from watchgrid.sources import views
+from watchgrid.sources import tables, views
 
 PROFILE = replace(model.DEFAULT_PROFILE, win=views.WINDOW)
 PLAIN = tuple(n for n in lenses.DEFAULT if n not in ("clock", "digits", "coupling"))
@@ -125,9 +125,14 @@ QUERIES["trace_events"] = trace_events
 ORACLE_SQL["trace_events"] = f"WITH {CHUNKS} SELECT trace_id, seq, round(t, 6) AS t, agent, kind, target, round(size, 6) AS size, chan FROM ch"
 
 
+def _chunks(spark, sf_dir):
+    """The chunks as a table: every detector reads them."""
+    return tables.written(views.chunks(spark, sf_dir))
+
+
 def _scores(spark, sf_dir):
-    trace = views.chunks(spark, sf_dir)
-    return stack.scores(lenses.series(trace, PROFILE, PLAIN), trace, PLAIN)
+    trace = _chunks(spark, sf_dir)
+    return tables.written(stack.scores(lenses.series(trace, PROFILE, PLAIN), trace, PLAIN))
 
 
 def lens_scores(spark, sf_dir):
@@ -164,8 +169,8 @@ ORACLE_SQL["stack_margins"] = f"WITH {_scores_sql()}{_CAL} SELECT sc.trace_id, s
 
 
 def _alarms(spark, sf_dir):
-    trace = views.chunks(spark, sf_dir)
-    series = lenses.series(trace, PROFILE, PLAIN)
+    trace = _chunks(spark, sf_dir)
+    series = tables.written(lenses.series(trace, PROFILE, PLAIN))
     s = stack.scores(series, trace, PLAIN).join(F.broadcast(stack.split_chronological(trace)), "trace_id")
     th = stack.calibrate(s.where("part = 'cal'"), len(PLAIN))
     val = s.where("part = 'val'").select("trace_id").distinct()

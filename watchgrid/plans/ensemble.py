@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watchgrid.operators import accounting, detection, gate, stack
 from watchgrid.plans import behaviour
 from watchgrid.plans.behaviour import _round
-from watchgrid.sources import views
+from watchgrid.sources import tables, views
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -16,7 +16,7 @@ def _table(spark, sf_dir):
     """Which detectors score a chunk above their median: a rich detection table."""
     s, n = behaviour._calibrated(spark, sf_dir)
     th = stack.calibrate(s.where("part = 'cal'"), n)
-    return s.join(F.broadcast(th), "lens").select(F.col("trace_id").alias("item"), F.col("lens").alias("monitor"), (F.col("score") > F.col("med")).cast("int").alias("detected"))
+    return tables.written(s.join(F.broadcast(th), "lens").select(F.col("trace_id").alias("item"), F.col("lens").alias("monitor"), (F.col("score") > F.col("med")).cast("int").alias("detected")))
 
 
 _DM = f"{behaviour._scores_sql()}{behaviour._CAL}, dm AS (SELECT trace_id AS item, lens AS monitor, CAST(score > med AS INT) AS detected FROM sc JOIN th USING (lens)), it AS (SELECT item, sum(detected) AS f, count(*) AS n FROM dm GROUP BY item)"
@@ -121,12 +121,12 @@ ORACLE_SQL["leave_one_out"] = f"WITH {_DM} SELECT dm.monitor, round(avg(CAST(f -
 def gate_decision(spark, sf_dir):
     """The gate's criteria over the detection table, the later chunks' alarms and the accounts."""
     table = _table(spark, sf_dir)
-    late = behaviour._alarms(spark, sf_dir)
+    late = tables.written(behaviour._alarms(spark, sf_dir))
     names = F.array(*[F.lit(n) for n in behaviour.PLAIN])
     clean = late.select(F.col("trace_id").alias("item"), F.explode(names).alias("monitor"), "fired").select("item", "monitor", F.array_contains("fired", F.col("monitor")).cast("int").alias("detected"))
-    records = views.updates(spark, sf_dir)
+    records = tables.written(views.updates(spark, sf_dir))
     pace = accounting.pacing(records).first().asDict()
-    found = gate.criteria(gate.Evidence(detections=table, clean=clean, findings=accounting.reconcile(records), pacing=pace))
+    found = gate.criteria(gate.Evidence(detections=table, clean=clean, findings=tables.written(accounting.reconcile(records)), pacing=pace))
     return gate.as_table(spark, [*found, gate.Criterion("decision", gate.decide(found))])
 
 

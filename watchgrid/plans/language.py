@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watchgrid.functions import scalars
 from watchgrid.operators import channel, texts
 from watchgrid.plans.behaviour import _round
-from watchgrid.sources import views
+from watchgrid.sources import tables, views
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -180,7 +180,7 @@ _VARIANTS = {
 
 
 def _alarms(spark, sf_dir, rewrites=None):
-    s = texts.scored(views.transcripts(spark, sf_dir), MONITORS, rewrites)
+    s = tables.written(texts.scored(views.transcripts(spark, sf_dir), MONITORS, rewrites))
     return texts.alarmed(s, texts.thresholds(s))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from watchgrid.operators import attacks, drift, lenses, profile, stack, weights
 from watchgrid.plans import behaviour
 from watchgrid.plans.behaviour import _round
-from watchgrid.sources import files, views
+from watchgrid.sources import files, tables, views
 
 QUERIES, ORACLE_SQL = {}, {}
 _FAST = ("burst", "sweep", "ctrl", "netvol", "books", "drift_chain")
@@ -37,14 +37,14 @@ ORACLE_SQL["incident_events"] = "SELECT * FROM (VALUES ('hf_2026_07', 0, CAST(16
 
 
 def _cal(spark, sf_dir, names):
-    trace = views.chunks(spark, sf_dir)
+    trace = behaviour._chunks(spark, sf_dir)
     s = stack.scores(lenses.series(trace, behaviour.PROFILE, names), trace, names).join(F.broadcast(stack.split_chronological(trace)), "trace_id")
-    return trace, s
+    return trace, tables.written(s)
 
 
 def detection_curves(spark, sf_dir):
     trace, s = _cal(spark, sf_dir, _FAST)
-    th = stack.calibrate(s.where("part = 'cal'"), len(_FAST))
+    th = tables.written(stack.calibrate(s.where("part = 'cal'"), len(_FAST)))
     bases = [r["trace_id"] for r in s.where("part = 'val'").select("trace_id").distinct().orderBy("trace_id").limit(8).collect()]
     stats = profile.scale_statistics(trace).first().asDict()
     return attacks.detection_curves(trace, behaviour.PROFILE, _FAST, bases, th, stats, asdict(behaviour.PROFILE)["p_kind"])
