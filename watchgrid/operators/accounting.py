@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from watchgrid.functions import scalars
 from watchgrid.sources import tables
 
 FINDINGS = ("BROKEN_CHAIN", "PHANTOM_CHANGE", "UNEXPLAINED_CHANGE", "UNKNOWN_REVIEW", "FAILED_REVIEW_STILL_LIVE", "UNREVIEWED_PAST_SLA")
@@ -140,6 +141,25 @@ def slope_interval(backlog: list[float], seed: int = 0, rounds: int = 300) -> tu
     return float(np.percentile(slopes, 2.5)), float(np.percentile(slopes, 97.5))
 
 
+def simulated(spark: SparkSession, days: float = 30.0, changes_per_day: float = 4.0, reviews_per_day: float = 6.0, artifacts: int = 5, seed: int = 0) -> DataFrame:
+    """Change, snapshot and review records of a process with one reviewer: gaps and review times are exponential, and the j-th review ends at max over i <= j of the i-th change's time plus
+    the work from i to j, which is a running maximum of prefix differences."""
+    n = int(days * changes_per_day)
+    gap = -F.log(F.greatest(scalars.uniform(F.col("id"), seed, "gap"), F.lit(1e-12))) * 86400 / changes_per_day
+    work = -F.log(F.greatest(scalars.uniform(F.col("id"), seed, "work"), F.lit(1e-12))) * 86400 / reviews_per_day
+    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    c = spark.range(n).select("id", gap.alias("gap"), work.alias("work")).withColumn("t", F.sum("gap").over(w)).withColumn("done", F.sum("work").over(w))
+    c = c.withColumn("review_t", F.col("done") + F.max(F.col("t") - F.col("done") + F.col("work")).over(w)).where(F.col("t") <= days * 86400)
+    c = c.withColumn("artifact", F.concat(F.lit("artifact"), (F.col("id") % artifacts).cast("string"))).withColumn("new", F.concat(F.lit("h"), F.col("id").cast("string")))
+    old = F.lag("new").over(Window.partitionBy("artifact").orderBy("id"))
+    c = c.withColumn("old", old)
+    none = F.lit(None).cast("string")
+    change = c.select(F.lit("change").alias("type"), "t", "artifact", "old", "new", none.alias("hash"), none.alias("result"), F.lit(0).alias("ord"), F.col("id").alias("seq"))
+    snap = c.select(F.lit("snapshot").alias("type"), (F.col("t") + 30).alias("t"), "artifact", none.alias("old"), none.alias("new"), F.col("new").alias("hash"), none.alias("result"), F.lit(2).alias("ord"), F.col("id").alias("seq"))
+    review = c.where(F.col("review_t") <= days * 86400).select(F.lit("review").alias("type"), F.col("review_t").alias("t"), "artifact", none.alias("old"), "new", none.alias("hash"), F.lit("pass").alias("result"), F.lit(1).alias("ord"), F.col("id").alias("seq"))
+    return change.unionByName(snap).unionByName(review)
+
+
 # ---------------------------------------------------------------------- ledgers
 
 ZERO = "0" * 64

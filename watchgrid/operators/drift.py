@@ -6,12 +6,13 @@ import math
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchgrid.functions import scalars
 from watchgrid.model import Profile
-from watchgrid.operators import detection, stack
+from watchgrid.operators import attacks, detection, lenses, stack
+from watchgrid.sources import tables
 
 
 def transfer(scores: DataFrame, groups: DataFrame, n_lenses: int, far: float = 0.05, share: float = 0.6) -> DataFrame:
@@ -69,6 +70,34 @@ def perturbed(prof: Profile, size: float, rng: np.random.Generator) -> Profile:
     )
 
 
+def staleness(spark: SparkSession, versions: list[tuple[str, Profile]], names, n_cal: int = 40, n_val: int = 20, far: float = 0.05, hours: float = 2.0, seed: int = 0) -> DataFrame:
+    """(version, thresholds, alarm_rate, coverage): for each version of an agent, alarms on its clean traces and caught known attacks, under the first version's thresholds (stale) and
+    under its own (fresh). Traces are synthetic."""
+    out, first = None, None
+    for i, (name, prof) in enumerate(versions):
+        traces = tables.written(attacks.synthetic(spark, n_cal + n_val, prof, hours, seed=seed + i))
+        series = tables.written(lenses.series(traces, prof, names))
+        s = tables.written(stack.scores(series, traces, names))
+        fresh = tables.written(stack.calibrate(s.where(F.col("trace_id") < n_cal), len(names), far))
+        first = fresh if first is None else first
+        val = traces.where(F.col("trace_id") >= n_cal)
+        specs = [attacks.Spec(k, p, t0=1800.0) for k, p in attacks.LIBRARY.items()]
+        for kind, th in (("stale", first), ("fresh", fresh)):
+            rate = stack.false_alarm_rate(stack.evaluate(series.where(F.col("trace_id") >= n_cal), val.select("trace_id"), th, names))
+            cover = attacks.bench(specs, val, prof, names, th).agg(F.avg(F.col("detected").cast("double")).alias("coverage"))
+            own = rate.crossJoin(cover).select(F.lit(name).alias("version"), F.lit(kind).alias("thresholds"), F.col("rate").alias("alarm_rate"), "coverage")  # one row each
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def clock_diagnostic(scores: DataFrame, lens: str = "clock", far: float = 0.05, n_lenses: int = 13) -> DataFrame:
+    """One row: a lens's 95th percentile and maximum on clean traces, its threshold, and how many traces lie above it."""
+    own = scores.where(F.col("lens") == lens)
+    th = stack.calibrate(own, n_lenses, far).select("tau")
+    g = own.crossJoin(F.broadcast(th)).groupBy("tau").agg(F.percentile("score", 0.95).alias("p95"), F.max("score").alias("ceiling"), F.sum((F.col("score") > F.col("tau")).cast("long")).alias("above"))  # one row
+    return g
+
+
 def ablation(scores: DataFrame, names, drop: str, far: float = 0.05) -> DataFrame:
     """(variant, trace_id, detected): alarms of the full stack, and of the stack without one lens, both calibrated on the first part."""
     parts = F.broadcast(stack.split_chronological(scores))

@@ -6,7 +6,7 @@ from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
-from watchgrid.operators import attacks, drift, lenses, profile, stack, weights
+from watchgrid.operators import accounting, attacks, drift, lenses, profile, stack, weights
 from watchgrid.plans import behaviour
 from watchgrid.plans.behaviour import _round
 from watchgrid.sources import files, tables, views
@@ -89,6 +89,58 @@ def ablation(spark, sf_dir):
 QUERIES["ablation"] = ablation
 
 
+def _synthetic(spark):
+    traces = tables.written(attacks.synthetic(spark, 60, hours=2.0))
+    s = stack.scores(lenses.series(traces, lenses.Profile(), _FAST), traces, _FAST)
+    return traces, lenses.Profile(), tables.written(stack.calibrate(s.where("trace_id < 40"), len(_FAST)))
+
+
+def library_coverage(spark, sf_dir):
+    """Which known attacks the detectors notice on synthetic traces."""
+    traces, prof, th = _synthetic(spark)
+    specs = [attacks.Spec(k, p, t0=1800.0) for k, p in attacks.LIBRARY.items()]
+    return attacks.bench(specs, traces.where("trace_id >= 40"), prof, _FAST, th).withColumn("fired", F.array_join("fired", ","))
+
+
+QUERIES["library_coverage"] = library_coverage
+
+
+def fuzz_escapes(spark, sf_dir):
+    traces, prof, th = _synthetic(spark)
+    return attacks.fuzz(traces.where("trace_id >= 40"), prof, _FAST, th, n=40).withColumn("fired", F.array_join("fired", ","))
+
+
+QUERIES["fuzz_escapes"] = fuzz_escapes
+
+
+def staleness(spark, sf_dir):
+    import numpy as np
+
+    prof = lenses.Profile()
+    return drift.staleness(spark, [("v0", prof), ("v1", drift.perturbed(prof, 0.5, np.random.default_rng(1)))], _FAST, 30, 10)
+
+
+QUERIES["staleness"] = staleness
+
+
+def simulated_updates(spark, sf_dir):
+    """Pace of a simulated process that falls behind."""
+    return _round(accounting.pacing(tables.written(accounting.simulated(spark, 30, 8, 3))), "span_days", "changes_per_day", "reviews_per_day", "growth_per_day", "lag_median_h", "lag_p95_h", "within_sla")
+
+
+QUERIES["simulated_updates"] = simulated_updates
+
+
+def exported_events(spark, sf_dir):
+    return files.exported(views.chunks(spark, sf_dir)).drop("value")
+
+
+QUERIES["exported_events"] = exported_events
+ORACLE_SQL["exported_events"] = f"""WITH {behaviour.CHUNKS} SELECT trace_id, round_even(t, 3) AS t, agent, chan, (['read', 'write', 'bash', 'search', 'test', 'net'])[kind + 1] AS kind, round_even(size, 1) AS size,
+  CASE WHEN target < 7 THEN (['AGENTS.md', 'CLAUDE.md', '.claude/settings.json', '.cursor/rules', '.gemini/settings.json', '.vscode/tasks.json', '.github/workflows'])[target + 1]
+       WHEN kind = 5 THEN 'host-' || target || '.example' WHEN kind IN (2, 4) THEN 'cmd-' || target ELSE 'src/file_' || target || '.py' END AS target FROM r"""
+
+
 def lineage(spark, sf_dir):
     """A signature embedded into the embeddings as one vector, and recovered."""
     v = views.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("chunk"), "vec_id", "embedding")

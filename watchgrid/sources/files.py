@@ -184,6 +184,16 @@ def snapshot(spark: SparkSession, paths: list[str], t: float) -> DataFrame:
     return out
 
 
+def exported(trace: DataFrame, independent: bool = False) -> DataFrame:
+    """Trace events under names, as a monitor from outside gets them: t, agent, kind, target, size, value; the independent record only if asked for."""
+    kinds, controls = (F.array(*[F.lit(x) for x in names]) for names in (model.KINDS, model.CONTROL_FILES))
+    number = F.col("target").cast("string")
+    other = F.when(F.col("kind") == model.NET, F.concat(F.lit("host-"), number, F.lit(".example"))).when(F.col("kind").isin(model.BASH, model.TEST), F.concat(F.lit("cmd-"), number)).otherwise(F.concat(F.lit("src/file_"), number, F.lit(".py")))
+    rows = trace if independent else trace.where("chan = 0")
+    name = F.when(F.col("target") < model.N_CONTROL, F.element_at(controls, F.least(F.col("target"), F.lit(model.N_CONTROL - 1)) + 1)).otherwise(other)
+    return rows.select("trace_id", F.bround("t", 3).alias("t"), "agent", F.element_at(kinds, F.col("kind") + 1).alias("kind"), name.alias("target"), F.bround("size", 1).alias("size"), "value", "chan")
+
+
 def list_incidents() -> list[str]:
     return sorted(INCIDENTS)
 
