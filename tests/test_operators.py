@@ -272,3 +272,27 @@ def test_lineage(spark):
     signed = weights.embed(v, b"k", sig)
     assert weights.verify(signed, b"k", sig)["fraction"] == 1.0
     assert weights.verify(signed, b"other", sig)["lineage"] == "no evidence" or weights.verify(signed, b"other", sig)["fraction"] < 0.8
+
+
+def test_bench_notices_strong_attacks(spark):
+    names = ("burst", "sweep", "ctrl", "books")
+    base = attacks.synthetic(spark, 40, hours=2.0)
+    s = stack.scores(lenses.series(base, model.DEFAULT_PROFILE, names), base, names)
+    th = stack.calibrate(s.where("trace_id < 30"), len(names))
+    specs = [attacks.Spec("loud", [("burst", {"n": 2000})], t0=1800.0), attacks.Spec("tamper", [("ctrl", {"n": 40})], t0=1800.0), attacks.Spec("off", [("unlogged", {"n": 60})], t0=1800.0)]
+    got = {r["attack"]: set(r["fired"]) for r in attacks.bench(specs, base.where("trace_id >= 30"), model.DEFAULT_PROFILE, names, th).collect()}
+    assert "burst" in got["loud"] and "ctrl" in got["tamper"] and got["off"] == {"books"}
+
+
+def test_simulated_updates_fall_behind(spark):
+    slow = accounting.pacing(accounting.simulated(spark, 30, 8, 3)).first()
+    fast = accounting.pacing(accounting.simulated(spark, 30, 4, 12)).first()
+    assert slow["growth_per_day"] > 2 and abs(fast["growth_per_day"]) < 0.5
+    assert accounting.reconcile(accounting.simulated(spark, 30, 4, 12)).where("kind <> 'UNREVIEWED_PAST_SLA'").count() == 0
+    lo, hi = accounting.slope_interval([float(i) for i in range(60)])
+    assert 0.9 < lo <= hi < 1.1
+
+
+def test_exported_events(spark):
+    got = [tuple(r)[2:5] for r in files.exported(trace(spark, [ev(1, model.WRITE, 1), ev(2, model.NET, 9), ev(3, chan=1)])).orderBy("t").collect()]
+    assert [(k, t) for _, k, t in got] == [("write", "CLAUDE.md"), ("net", "host-9.example")]

@@ -125,19 +125,19 @@ QUERIES["trace_events"] = trace_events
 ORACLE_SQL["trace_events"] = f"WITH {CHUNKS} SELECT trace_id, seq, round(t, 6) AS t, agent, kind, target, round(size, 6) AS size, chan FROM ch"
 
 
-def _chunks(spark, sf_dir):
+def _chunks(spark, sf_dir, least=views.LEAST_EVENTS):
     """The chunks as a table: every detector reads them."""
-    return tables.written(views.chunks(spark, sf_dir))
+    return tables.written(views.chunks(spark, sf_dir, least))
 
 
-def _scores(spark, sf_dir):
-    trace = _chunks(spark, sf_dir)
+def _scores(spark, sf_dir, least=views.LEAST_EVENTS):
+    trace = _chunks(spark, sf_dir, least)
     return tables.written(stack.scores(lenses.series(trace, PROFILE, PLAIN), trace, PLAIN))
 
 
-def lens_scores(spark, sf_dir):
+def lens_scores(spark, sf_dir, least=views.LEAST_EVENTS):
     """Alarm score of every chunk by every detector that is plain SQL."""
-    return _round(_scores(spark, sf_dir), "score")
+    return _round(_scores(spark, sf_dir, least), "score")
 
 
 QUERIES["lens_scores"] = lens_scores

@@ -30,11 +30,11 @@ def raw_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.lit(0).cast("long").alias("trace_id"), "seq", "t", "agent", "kind", "target", "size", "value", "chan")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trace cut into chunks of CHUNK seconds with at least LEAST_EVENTS reported events."""
+def chunks(spark: SparkSession, sf_dir: str, least: int = LEAST_EVENTS) -> DataFrame:
+    """The trace cut into chunks of CHUNK seconds with at least `least` reported events."""
     from watchgrid.operators import profile
 
-    return profile.chunked(raw_trace(spark, sf_dir), CHUNK, LEAST_EVENTS)
+    return profile.chunked(raw_trace(spark, sf_dir), CHUNK, least)
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
