@@ -30,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/watchgrid-{uuid.uuid4().hex}"
 
 
+def deleted_on_exit(spark: SparkSession, path: str) -> None:
+    """Marks an existing folder to be deleted when the driver ends; results may read it until then."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, its lineage cut, safe against the loss of any executor."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    deleted_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
