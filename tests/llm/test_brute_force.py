@@ -307,3 +307,23 @@ def test_pipeline_stages(spark):
         before = docs.count()
     last = pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == before and last.where("n_ids = 0").count() == 0
+
+
+def test_pii_in_a_long_text_is_quick():
+    import time
+
+    trees, limits = pii.model()
+    text = " ".join(f"call 555-{i % 900 + 100}-{i % 9000 + 1000} a{i}@b.com 4111111111111111 4111111111111111" for i in range(6000))
+    began = time.time()
+    found = pii.spans(text, trees, limits)[1]
+    assert time.time() - began < 30 and sum(k == "email" for _, k, _ in found) == 6000 and sum(k == "card" for _, k, _ in found) == 12000
+
+
+def test_html_of_deep_and_broken_pages_is_quick():
+    import time
+
+    began = time.time()
+    found, _ = html.blocks("<div class='a'>" * 60_000 + "deep")
+    assert [t for _, t, _, _ in found] == ["deep"]
+    found, _ = html.blocks("<b><p>x</p>" * 20_000)
+    assert len(found) == 20_000 and time.time() - began < 20

@@ -12,6 +12,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,26 +171,22 @@ def spans(text: str | None, trees: Trees, thresholds: dict[str, float]) -> tuple
     if not text or not _TRIGGER.search(text):
         return [], []
     base = base_spans(text)
-    taken = sorted((a, b) for a, _, b in base)
-    more = [c for c in candidates(text) if c not in base and not any(c[0] < b and a < c[2] for a, b in taken)] if len(taken) < 64 else _apart(candidates(text), taken)
+    more = _apart(candidates(text), sorted((a, b) for a, _, b in base))
     added: list[tuple[int, str, int]] = []
     if more:
         p = trees.probability(np.array([features(text, *c) for c in more]))
-        ends: list[tuple[int, int]] = []
+        chosen: list[tuple[int, int]] = []  # disjoint, in order
         for i in sorted(range(len(more)), key=lambda i: (-p[i], more[i][0], KINDS.index(more[i][1]))):
             a, k, b = more[i]
-            if p[i] >= thresholds[k] and not any(a < y and x < b for x, y in ends[-256:]) and _free(ends, a, b):
-                ends.append((a, b))
+            at = bisect(chosen, (a, b))
+            if p[i] >= thresholds[k] and not (at and chosen[at - 1][1] > a) and not (at < len(chosen) and chosen[at][0] < b):
+                chosen.insert(at, (a, b))
                 added.append(more[i])
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
-def _free(ends: list[tuple[int, int]], a: int, b: int) -> bool:
-    return not any(a < y and x < b for x, y in ends)
-
-
 def _apart(found, taken):
-    """Of found those that overlap nothing in taken, by a merge of both sorted lists."""
+    """Of found those that overlap nothing in taken, sorted intervals."""
     starts, reach = np.array([a for a, _ in taken]), np.maximum.accumulate([b for _, b in taken])
     out = []
     for c in found:
