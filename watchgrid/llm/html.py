@@ -11,8 +11,10 @@ importance is per node, and only the nodes to be removed come back to the pages.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,21 +79,28 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[
     stack = [_Element("", "", False, False)]
     text: list[str] = []
     styles: dict[str, tuple[str, ...]] = {}
+    counts: Counter[str] = Counter()  # open elements by tag, and those that are hinted or inside the article: no step looks through a deep stack in vain
 
     def flush() -> None:
         joined = "".join(text)
         if joined and (clean := " ".join(html.unescape(joined).split())):
             top = next(e for e in reversed(stack) if e.tag in _BLOCK or not e.tag)
-            hinted = any(e.hinted for e in stack)
-            out.append((top.path, clean, hinted, any(e.inside for e in stack)))
+            out.append((top.path, clean, counts["?hinted"] > 0, counts["?inside"] > 0))
         text.clear()
 
+    def push(e: _Element) -> None:
+        stack.append(e)
+        counts.update((e.tag, *["?hinted"] * e.hinted, *["?inside"] * e.inside))
+
     def pop() -> None:
         e = stack.pop()
+        counts.subtract((e.tag, *["?hinted"] * e.hinted, *["?inside"] * e.inside))
         styles.setdefault(e.path, tuple(e.children))
 
     def close(tags, stop=frozenset()) -> None:
         """Ends the innermost open element of these tags, if none of stop is inside."""
+        if not any(counts[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 if any(e.tag in _BLOCK for e in stack[k:]):
@@ -125,7 +134,7 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[
         if end:
             if tag == "br":
                 text.append(" ")
-            elif tag == "p" and not any(e.tag == "p" for e in stack):
+            elif tag == "p" and not counts["p"]:
                 flush()
             elif tag not in ("body", "html"):
                 close({tag}, frozenset() if tag in _BLOCK else _BLOCK)
@@ -148,15 +157,16 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[
             flush()
         style, hinted, inside = _style(tag, attributes)
         parent = stack[-1]
-        if tag == "header" and any(e.inside for e in stack):
+        if tag == "header" and counts["?inside"]:
             hinted = False  # of the article itself
         elif tag == "header":
             hinted = True
         if len(parent.children) < 64:
             parent.children.append(style)
-        path = f"{parent.path}>{style}" if tag in _BLOCK else parent.path
+        above = parent.path if len(parent.path) < 400 else hashlib.sha1(parent.path.encode("utf-8", "replace")).hexdigest()
+        path = f"{above}>{style}" if tag in _BLOCK else parent.path
         if tag in _BLOCK or len(stack) < 200:
-            stack.append(_Element(tag, path, hinted, inside and not any(e.hinted for e in stack) and not hinted))
+            push(_Element(tag, path, hinted, inside and not counts["?hinted"] and not hinted))
     flush()
     while len(stack) > 1:
         pop()
