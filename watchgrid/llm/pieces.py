@@ -26,7 +26,7 @@ from watchgrid.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of distinct chunks that are matched at a time, chunks that a task remembers, and the longest chunk that is relaxed along with all others.
-BATCH_CHARS, REMEMBERED, LONG = 300_000, 400_000, 48
+BATCH_CHARS, REMEMBERED, LONG = 300_000, 200_000, 48
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
