@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from watchgrid import plugins
 from watchgrid.operators import accounting, attacks, channel, commons, detection, drift, gate, lenses, profile, stack, texts, weights
-from watchgrid.sources import files
+from watchgrid.sources import files, tables
 from watchgrid.sources.git import read_git
 
 FAST = tuple(n for n in lenses.DEFAULT if n not in ("clock", "digits"))
@@ -47,17 +47,17 @@ def _chunks(spark: SparkSession, a) -> DataFrame:
     trace = files.load(spark, a.path, getattr(a, "format", None))
     if getattr(a, "observed", None):
         trace = trace.unionByName(files.read_events(spark, a.observed, chan=1).withColumn("chan", F.lit(1)))
-    return profile.chunked(profile.compressed(trace), a.chunk)
+    return tables.written(profile.chunked(profile.compressed(trace), a.chunk))
 
 
 def _calibrated(chunks: DataFrame, prof, far: float):
-    s = stack.scores(lenses.series(chunks, prof, FAST), chunks, FAST).join(F.broadcast(stack.split_chronological(chunks)), "trace_id")
-    return s, stack.calibrate(s.where("part = 'cal'"), len(FAST), far)
+    s = tables.written(stack.scores(lenses.series(chunks, prof, FAST), chunks, FAST).join(F.broadcast(stack.split_chronological(chunks)), "trace_id"))
+    return s, tables.written(stack.calibrate(s.where("part = 'cal'"), len(FAST), far))
 
 
 def _late_alarms(chunks: DataFrame, s: DataFrame, th: DataFrame, prof) -> DataFrame:
     val = s.where("part = 'val'").select("trace_id").distinct()
-    return stack.evaluate(lenses.series(chunks.join(val, "trace_id", "left_semi"), prof, FAST), val, th, FAST)
+    return tables.written(stack.evaluate(lenses.series(chunks.join(val, "trace_id", "left_semi"), prof, FAST), val, th, FAST))
 
 
 def _clean_table(found: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def channel_command(spark, a) -> int:
     parts = {"profile": rows(channel.profile(m)), "hidden": rows(channel.hidden(m)), "decoded": rows(channel.decoded(m))}
     if a.actions:
         acts = files.read_actions(spark, a.actions)
-        parts |= {"lexicon": rows(channel.ground(m, acts)), "informative": channel.informativeness(m, acts), "coordination": rows(channel.coordination(acts))}
+        parts |= {"lexicon": rows(channel.ground(m, acts, rounds=a.rounds)), "informative": channel.informativeness(m, acts, rounds=a.rounds), "coordination": rows(channel.coordination(acts, rounds=a.rounds))}
     report(a.out, "channel", **parts)
     return 0
 
@@ -120,7 +120,8 @@ def transcripts(spark, a) -> int:
     monitors = {s: texts.python_monitor(plugins.monitor(s)) for s in a.monitor or []} | {c: texts.command_monitor(c) for c in a.command or []}
     examples = files.read_labelled(spark, a.path)
     s = texts.scored(examples, monitors, texts.TRANSFORMS if a.kind == "transcript" else texts.REWRITES)
-    found = texts.alarmed(s, texts.thresholds(s, a.far)).persist()
+    s = tables.written(s)
+    found = tables.written(texts.alarmed(s, texts.thresholds(s, a.far)))
     cover = rows(texts.coverage(found))
     report(a.out, a.kind, coverage=cover, stability=rows(texts.stability(found)), text_audit=rows(texts.text_audit(found)), correlations=rows(detection.correlations(texts.detections(found))))
     low = min((r["rate"] for r in cover if r["label"] == 1), default=0.0)
@@ -129,14 +130,14 @@ def transcripts(spark, a) -> int:
 
 def sessions_command(spark, a) -> int:
     trace = files.read_sessions(spark, a.path, a.group_by)
-    chunks = profile.chunked(profile.compressed(trace.drop("label")), a.chunk)
+    chunks = tables.written(profile.chunked(profile.compressed(trace.drop("label")), a.chunk))
     labels = trace.groupBy("trace_id").agg(F.first("label").alias("label"))
     whole = profile.compressed(trace.drop("label"))
     start = whole.where("chan = 0").groupBy("trace_id").agg(F.min("t").alias("t0"))
     ids = whole.join(start, "trace_id").select("trace_id", F.floor((F.col("t") - F.col("t0")) / a.chunk).cast("long").alias("c")).distinct()
     groups = ids.join(labels, "trace_id").select(F.when(F.col("trace_id") == 0, F.col("c")).otherwise(F.xxhash64("trace_id", "c")).alias("trace_id"), F.col("label").alias("grp"))
     prof = replace(lenses.Profile(), win=a.chunk / 2)
-    s = stack.scores(lenses.series(chunks, prof, FAST), chunks, FAST)
+    s = tables.written(stack.scores(lenses.series(chunks, prof, FAST), chunks, FAST))
     report(a.out, "tracelab", transfer=rows(drift.transfer(s, groups, len(FAST))), time=rows(drift.time_drift(s, len(FAST))), control=rows(drift.time_drift(s, len(FAST), shuffled=True)))
     return 0
 
@@ -144,6 +145,7 @@ def sessions_command(spark, a) -> int:
 def ablate(spark, a) -> int:
     chunks = _chunks(spark, a)
     s = stack.scores(lenses.series(chunks, replace(lenses.Profile(), win=a.chunk / 2), lenses.DEFAULT), chunks, lenses.DEFAULT)
+    s = tables.written(s)
     g = drift.ablation(s, lenses.DEFAULT, a.drop).groupBy("variant").agg(F.avg("detected").alias("alert_rate"), F.count("*").alias("chunks"))
     report(a.out, "ablation", variants=rows(g))
     return 0
@@ -173,7 +175,7 @@ def main(argv: list[str] | None = None) -> int:
     add("gate", gate_command, ("--policy", text), ("--updates", text), ("--ledger", text), ("--witness", text), ("--step", {"default": "unnamed step"}), ("--plugin", many), ("--format", text))
     add("updates", updates, ("--sla", {"type": float, "default": 24.0}), ("--fail", {"action": "store_true"}), ("--git", {"action": "store_true"}), ("--watch", many))
     add("updates-from-git", lambda s, a: updates(s, argparse.Namespace(**{**vars(a), "git": True})), ("--sla", {"type": float, "default": 24.0}), ("--fail", {"action": "store_true"}), ("--watch", many))
-    add("channel", channel_command, ("--actions", text))
+    add("channel", channel_command, ("--actions", text), ("--rounds", {"type": int, "default": 50}))
     for kind in ("transcript", "text-audit"):
         add(kind, transcripts, ("--monitor", many), ("--command", many), ("--least", {"type": float, "default": None}), ("--kind", {"default": kind}))
     add("tracelab", sessions_command, ("--group-by", {"default": "model"}))

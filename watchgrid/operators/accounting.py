@@ -110,11 +110,11 @@ def pacing(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = No
         F.avg(F.when(F.col("review_t").isNotNull(), (lag <= sla_hours * 3600).cast("double"))).alias("within"),
     ).crossJoin(horizon)
     g = g.withColumn("days", F.greatest((F.col("h") - F.col("t0")) / 86400, F.lit(1e-9))).withColumn("n", F.greatest(F.lit(20), F.least(F.lit(200), F.floor(F.col("days") * 2))).cast("int"))
-    grid = g.select("n", "t0", (F.greatest("h", "t1") - F.col("t0")).alias("len"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    grid = g.select("n", "t0", F.greatest(F.greatest("h", "t1") - F.col("t0"), F.lit(1e-9)).alias("len"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     grid = grid.select("i", (F.col("t0") + F.col("len") * F.col("i") / (F.col("n") - 1)).alias("at"), (F.col("len") / (F.col("n") - 1) / 86400).alias("step"))
     # Events are counted into the grid's steps (at most 200), then summed up along it.
     d = changes.select(F.col("t").alias("at"), F.lit(1).alias("d")).unionByName(changes.where("review_t IS NOT NULL").select(F.col("review_t").alias("at"), F.lit(-1).alias("d")))
-    cell = d.crossJoin(F.broadcast(g.select("t0", "n", (F.greatest("h", "t1") - F.col("t0")).alias("len"))))  # one row
+    cell = d.crossJoin(F.broadcast(g.select("t0", "n", F.greatest(F.greatest("h", "t1") - F.col("t0"), F.lit(1e-9)).alias("len"))))  # one row
     cell = cell.withColumn("i", F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("t0")) * (F.col("n") - 1) / F.col("len"))).cast("int")).groupBy("i").agg(F.sum("d").alias("d"))
     run = grid.join(F.broadcast(cell), "i", "left").withColumn("b", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
     trend = run.agg(F.max("b").alias("peak_backlog"), (F.regr_slope("b", "i") / F.first("step")).alias("growth_per_day"))
