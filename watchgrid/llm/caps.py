@@ -2,8 +2,11 @@
 
 After a random rotation a vector is cut in two halves, each with its own random code of BLOCK directions; a filter is a pair of directions, its cap the vectors whose summed
 inner products exceed a threshold. The product structure lets a vector be list-decoded to all its caps without looking at all pairs: only first directions that can reach the
-threshold with the best second one are opened. Vectors that share a cap, and a label, are compared exactly. Several rotations make a miss of a close pair unlikely; a vector
-that exceeds no cap of a rotation gets its nearest one.
+threshold with the best second one are opened. Vectors that share a cap, and a label, are compared exactly. A vector that exceeds no cap of a rotation gets its nearest one.
+
+The code grows with the largest label's class, and its caps get sparser, so the rotations grow with it: a random rotation makes any pair of a cosine a random one, hence a pair
+is missed in all of R rotations with the R-th power of the probability for one, which is measured on random pairs at exactly the least cosine. R is the first number that takes
+it to MISS; pairs above the least cosine are missed less often.
 
 A vector goes once to each (label, rotation, first direction) in which it has caps, rather than once to each cap. A pair may meet in several such groups; it is counted in that
 of its smallest common cap alone, so degrees are exact without emitting pairs, and a group gives only a spanning forest of its links. Equal vectors are one class from the
@@ -25,6 +28,8 @@ from watchgrid.llm import common, vectors
 
 LEAST = 0.93
 ROTATIONS, CAPS, SEED = 4, 10, 9
+#: Probability that a pair at exactly the least cosine shares no cap. It is measured with so many codes and pairs; where one rotation misses more than SPARSE, caps get denser.
+MISS, CODES, PAIRS, SPARSE = 0.001, 16, 250, 0.8
 #: Directions of a half's code at least, and members of a cap that its size aims at.
 BLOCK, MEMBERS = 64, 32
 CHUNK = 3000
@@ -58,6 +63,32 @@ class Filters:
         return [np.concatenate(ids).astype(np.int64) for ids in out]
 
 
+def missed(dim: int, block: int, caps: float, least: float, seed: int = SEED) -> float:
+    """Probability that a pair at a cosine of `least` shares no cap of one rotation: the measured share and two of its standard errors."""
+    rng, filters = np.random.default_rng([seed, dim, block, 1]), Filters(dim, block, CODES, caps, seed + 1)
+    x, z = vectors.unit(rng.normal(size=(PAIRS, dim))), rng.normal(size=(PAIRS, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = x if dim == 1 else least * x + math.sqrt(max(0.0, 1 - least**2)) * vectors.unit(z)
+    n, met = CODES * PAIRS, 0
+    for a, b in zip(filters.decode(x), filters.decode(y), strict=True):
+        met += len(np.unique(np.intersect1d(a, b) // block**2))
+    q = 1 - met / n
+    return q + 2 * math.sqrt(max(q, 1 / n) * max(1 - q, 1 / n) / n)
+
+
+def scheme(dim: int, largest: int, least: float) -> tuple[int, int, int]:
+    """(block, caps, rotations) for classes of up to `largest` vectors, with which a pair at `least` is missed with a probability of MISS at most."""
+    caps = CAPS
+    while True:
+        block = max(BLOCK, math.ceil(math.sqrt(largest * caps / MEMBERS)))
+        q = missed(dim, block, caps, least)
+        if q <= SPARSE:
+            return block, caps, max(1, math.ceil(math.log(MISS) / math.log(q)))
+        if 2 * caps > block**2:
+            raise ValueError(f"caps cannot find pairs at a cosine of {least}")
+        caps *= 2
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest member of each component."""
     root = np.arange(n)
@@ -87,7 +118,8 @@ def link(table: DataFrame, least: float = LEAST, key: str = "vec_id", vector: st
     if one is None:
         return alone
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    filters = Filters(one["dim"], max(BLOCK, math.ceil(math.sqrt(largest * CAPS / MEMBERS))))
+    block, caps, rotations = scheme(one["dim"], largest, least)
+    filters = Filters(one["dim"], block, rotations, caps)
     model = spark.sparkContext.broadcast(filters)
     kind = rows.schema["label"].dataType.simpleString()
 
@@ -132,10 +164,11 @@ def link(table: DataFrame, least: float = LEAST, key: str = "vec_id", vector: st
         for k, c in enumerate(caps):
             lists[k, : len(c)] = np.sort(c)
         mine = np.empty(len(i), dtype=bool)
-        for k in range(0, len(i), 2000):
-            a, b = lists[i[k : k + 2000]], lists[j[k : k + 2000]]
+        step = max(1, 8_000_000 // width**2)
+        for k in range(0, len(i), step):
+            a, b = lists[i[k : k + step]], lists[j[k : k + step]]
             common_ = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a < np.iinfo(np.int64).max)
-            mine[k : k + 2000] = a[np.arange(len(a)), common_.argmax(axis=1)] // block == code
+            mine[k : k + step] = a[np.arange(len(a)), common_.argmax(axis=1)] // block == code
         links = np.bincount(i[mine], weights=copies[j[mine]], minlength=len(x)) + np.bincount(j[mine], weights=copies[i[mine]], minlength=len(x))
         some, root = np.flatnonzero(links), _roots(len(x), i, j)
         tied = np.flatnonzero(root != np.arange(len(x)))
