@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from watchgrid.llm import caps, common
+from watchgrid.llm import caps, common, html
 
 
 def pairs(rng, n, dim, cosine):
@@ -34,3 +34,20 @@ def test_caps_links_of_a_large_code(spark, monkeypatch):
     df = common.written(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
     got = caps.link(df).toPandas().set_index("vec_id")
     assert (got["n_links"] == 1).sum() >= 2 * n - 8 and got["n_links"].max() == 1
+
+
+def left(page):
+    return [t for _, t in html._candidates(html.blocks(page)[0])]
+
+
+def extracted(spark, pages):
+    df = common.written(spark.createDataFrame([(i, u, s) for i, (u, s) in enumerate(pages)], "page_id long, url string, html string"))
+    return {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+
+
+def test_hints_around_the_page_do_not_empty_it():
+    article = "<nav>Menu</nav><article><h1>T</h1><p>Long text of it</p></article><aside><article>Card</article></aside>"
+    assert left(f'<div class="content with-sidebar">{article}</div>') == ["T", "Long text of it"]
+    assert left('<div id="wrapper" class="header-fixed"><nav>Menu</nav><h1>T</h1><p>Long text of it</p></div>') == ["T", "Long text of it"]
+    assert left("<aside><article>Card of another page</article></aside><div><p>Own longer text of this page</p></div>") == ["Own longer text of this page"]
+    assert left("<nav>One menu</nav><footer>One foot</footer>") == ["One menu", "One foot"]

@@ -2,8 +2,9 @@
 
 The pages of a host are merged into one tree whose nodes are chains of element styles (tag, classes and id without numbers). For each node the pages give two distributions:
 of the sequences of child styles, its presentation, and of the texts of its blocks, its content. A presentation that is alike everywhere and texts that many pages repeat have a
-low entropy-based importance; the branches that hold only such blocks are removed from every page of the host. Elements whose tag, role or class says that they are a menu,
-header, footer, sidebar, notice, advert, form or comments have no importance from the start. Where a page marks its article, blocks outside are left out.
+low entropy-based importance; in such nodes the texts that many pages repeat are removed from every page of the host. Elements whose tag, role or class says that they are a
+menu, header, footer, sidebar, notice, advert, form or comments go too, unless they hold the marked article or most of what the host does not repeat. Where a page marks its
+article, blocks outside are left out.
 
 Equal pages count once for the tree. Statistics are gathered by (host, node, text) and added up before they are shuffled, so one host with a third of all pages is no bottleneck;
 importance is per node, and only the nodes to be removed come back to the pages.
@@ -51,11 +52,20 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class _Scope:
+    """An element with a hint, or one marked as the main part: its hinted ancestor, and the weight of the texts that it holds."""
+
+    __slots__ = ("nth", "above", "weight")
+
+    def __init__(self, nth: int, above: _Scope | None):
+        self.nth, self.above, self.weight = nth, above, 0
+
+
 class _Element:
-    __slots__ = ("tag", "path", "hinted", "inside", "children")
+    __slots__ = ("tag", "path", "hint", "mark", "children")
 
-    def __init__(self, tag: str, path: str, hinted: bool, inside: bool):
-        self.tag, self.path, self.hinted, self.inside, self.children = tag, path, hinted, inside, []
+    def __init__(self, tag: str, path: str, hint: _Scope | None, mark: _Scope | None):
+        self.tag, self.path, self.hint, self.mark, self.children = tag, path, hint, mark, []
 
 
 def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
@@ -73,28 +83,29 @@ def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag, hinted, role == "main" or tag in ("main", "article")
 
 
-def blocks(source: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[str, tuple[str, ...]]]:
-    """(path, text, hinted, inside the article) of each block with text in page order, and the child styles of each path."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack = [_Element("", "", False, False)]
+def blocks(source: str | None) -> tuple[list[tuple[str, str, _Scope | None, _Scope | None]], dict[str, tuple[str, ...]]]:
+    """(path, text, innermost element with a hint, outermost marked element) of each block with text in page order, and the child styles of each path."""
+    out: list[tuple[str, str, _Scope | None, _Scope | None]] = []
+    stack = [_Element("", "", None, None)]
+    scopes = 0
     text: list[str] = []
     styles: dict[str, tuple[str, ...]] = {}
-    counts: Counter[str] = Counter()  # open elements by tag, and those that are hinted or inside the article: no step looks through a deep stack in vain
+    counts: Counter[str] = Counter()  # open elements by tag: no step looks through a deep stack in vain
 
     def flush() -> None:
         joined = "".join(text)
         if joined and (clean := " ".join(html.unescape(joined).split())):
             top = next(e for e in reversed(stack) if e.tag in _BLOCK or not e.tag)
-            out.append((top.path, clean, counts["?hinted"] > 0, counts["?inside"] > 0))
+            out.append((top.path, clean, stack[-1].hint, stack[-1].mark))
         text.clear()
 
     def push(e: _Element) -> None:
         stack.append(e)
-        counts.update((e.tag, *["?hinted"] * e.hinted, *["?inside"] * e.inside))
+        counts[e.tag] += 1
 
     def pop() -> None:
         e = stack.pop()
-        counts.subtract((e.tag, *["?hinted"] * e.hinted, *["?inside"] * e.inside))
+        counts[e.tag] -= 1
         styles.setdefault(e.path, tuple(e.children))
 
     def close(tags, stop=frozenset()) -> None:
@@ -157,7 +168,7 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[
             flush()
         style, hinted, inside = _style(tag, attributes)
         parent = stack[-1]
-        if tag == "header" and counts["?inside"]:
+        if tag == "header" and parent.mark:
             hinted = False  # of the article itself
         elif tag == "header":
             hinted = True
@@ -166,17 +177,65 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[
         above = parent.path if len(parent.path) < 400 else hashlib.sha1(parent.path.encode("utf-8", "replace")).hexdigest()
         path = f"{above}>{style}" if tag in _BLOCK else parent.path
         if tag in _BLOCK or len(stack) < 200:
-            push(_Element(tag, path, hinted, inside and not counts["?hinted"] and not hinted))
+            scopes += 1
+            marked = inside and not hinted and not parent.mark
+            push(_Element(tag, path, _Scope(scopes, parent.hint) if hinted else parent.hint, _Scope(scopes, parent.hint) if marked else parent.mark))
     flush()
     while len(stack) > 1:
         pop()
     return out, styles
 
 
-def _candidates(found: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str]]:
-    """(path, text) of the blocks that hints leave: those of the article if one is marked, else all."""
-    kept = [(p, t, inside) for p, t, hinted, inside in found if not hinted]
-    return [(p, t) for p, t, inside in kept if inside] or [(p, t) for p, t, _ in kept]
+def _chain(scope: _Scope | None) -> Iterator[_Scope]:
+    while scope:
+        yield scope
+        scope = scope.above
+
+
+def _candidates(found: list[tuple[str, str, _Scope | None, _Scope | None]], repeated: list[bool] | None = None) -> list[tuple[str, str]]:
+    """(path, text) of the blocks that hints leave: those of the article if one is marked, else all. Texts weigh their length, those that the host repeats nothing.
+
+    A hint does not hold for an element with more than half of that weight (of the article's, if one is marked), nor for those around a marked article that weighs more than
+    all that is free of hints. If hints leave nothing, the texts that the host does not repeat stay.
+    """
+    weights = [0 if repeated and repeated[k] else len(t) for k, (_, t, _, _) in enumerate(found)]
+    void: set[int] = set()  # hints that do not hold
+    marks = {m.nth: m for _, _, _, m in found if m}
+    if marks and all(m.above for m in marks.values()):
+        for m in marks.values():
+            m.weight = 0
+        for w, (_, _, h, m) in zip(weights, found, strict=True):
+            if m and h is m.above:
+                m.weight += w
+        best = max(marks.values(), key=lambda m: (m.weight, -m.nth))
+        if best.weight > sum(w for w, (_, _, h, _) in zip(weights, found, strict=True) if not h):
+            void.update(h.nth for h in _chain(best.above))
+    hints: dict[int, _Scope] = {}
+    for _, _, h, _ in found:
+        while h and h.nth not in hints:
+            hints[h.nth], h.weight = h, 0
+            h = h.above
+    free = {m.nth for m in marks.values() if not m.above or m.above.nth in void}
+    scope = [bool(m) and m.nth in free for _, _, _, m in found]
+    if not any(w for w, inside in zip(weights, scope, strict=True) if inside):
+        weighed = weights
+    else:
+        weighed = [w if inside else 0 for w, inside in zip(weights, scope, strict=True)]
+    for w, (_, _, h, _) in zip(weighed, found, strict=True):
+        if h:
+            h.weight += w
+    total, gone = sum(weighed), set()
+    for nth in sorted(hints, reverse=True):  # inner ones first
+        h = hints[nth]
+        if h.above:
+            h.above.weight += h.weight
+    for nth in sorted(hints):
+        h = hints[nth]
+        if (h.above and h.above.nth in gone) or (nth not in void and 2 * h.weight <= total):
+            gone.add(nth)
+    kept = [k for k, (_, _, h, _) in enumerate(found) if not h or h.nth not in gone]
+    kept = [k for k in kept if scope[k]] or kept or [k for k, w in enumerate(weights) if w]
+    return [found[k][:2] for k in kept]
 
 
 def host_of(url):
