@@ -51,3 +51,8 @@ def test_hints_around_the_page_do_not_empty_it():
     assert left('<div id="wrapper" class="header-fixed"><nav>Menu</nav><h1>T</h1><p>Long text of it</p></div>') == ["T", "Long text of it"]
     assert left("<aside><article>Card of another page</article></aside><div><p>Own longer text of this page</p></div>") == ["Own longer text of this page"]
     assert left("<nav>One menu</nav><footer>One foot</footer>") == ["One menu", "One foot"]
+
+
+def test_low_nodes_keep_unique_texts(spark):
+    pages = [(f"http://h.example/{i}", f"<article><h1>Title {i}</h1><p>Unique paragraph {i}</p><p>Same on all pages</p></article>") for i in range(30)]
+    assert extracted(spark, pages) == {i: f"Title {i}\n\nUnique paragraph {i}" for i in range(30)}

@@ -7,7 +7,7 @@ menu, header, footer, sidebar, notice, advert, form or comments go too, unless t
 article, blocks outside are left out.
 
 Equal pages count once for the tree. Statistics are gathered by (host, node, text) and added up before they are shuffled, so one host with a third of all pages is no bottleneck;
-importance is per node, and only the nodes to be removed come back to the pages.
+importance is per node, and only the texts to be removed come back to the pages: those on p of a low node's m pages with log(p) / log(m) of THRESHOLD or more.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from watchgrid.llm import common
 
 #: A node needs so many pages of a host for its importance to count, and is removed below the threshold. PRESENTATION is the share of the presentation's importance.
 LEAST_PAGES, THRESHOLD, PRESENTATION = 8, 0.5, 0.1
-#: Rows of removed nodes that are broadcast; more are joined by a salted shuffle.
+#: Removed texts that are broadcast; more are joined by a salted shuffle.
 BROADCAST_NODES, SALTS = 200_000, 16
 
 # Fixed values of the markup language, and words in classes, ids and roles.
@@ -242,8 +242,8 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content, importance) of the site style trees of rows (host, html)."""
+def _rows(pages: DataFrame) -> DataFrame:
+    """(host, node, text, style, page), distinct, of every block of rows (host, html); text is a hash of the node's path and the text."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -254,13 +254,26 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for host, source in zip(pdf["host"], pdf["html"], strict=True):
                 page = h(source or "")
                 found, styles = blocks(source)
-                for path, text in _candidates(found):
-                    out.add((host, h(path), h(text), h(",".join(styles.get(path, ()))), page))
+                shapes = {path: (h(path), h(",".join(styles.get(path, ())))) for path, *_ in found}
+                for path, text, *_ in found:
+                    node, shape = shapes[path]
+                    out.add((host, node, h(f"{path}\0{text}"), shape, page))
             yield pd.DataFrame(list(out), columns=["host", "node", "text", "style", "page"])
 
-    rows = pages.mapInPandas(scan, "host string, node long, text long, style long, page long").distinct()
-    # A page has one style per node here, that of the node's first element.
-    texts = rows.groupBy("host", "node", "text").agg(F.count_distinct("page").alias("p"))
+    return pages.mapInPandas(scan, "host string, node long, text long, style long, page long").distinct()
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("host", "node", "text").agg(F.count("*").alias("p"))  # a page has one style per node, that of the node's first element, so a text once
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """(host, node, pages, presentation, content, importance) of the site style trees of rows (host, html)."""
+    return _tree(_rows(pages))
+
+
+def _tree(rows: DataFrame) -> DataFrame:
+    texts = _texts(rows)
     shapes = rows.select("host", "node", "style", "page").distinct().groupBy("host", "node", "style").agg(F.count("*").alias("c"))
     shapes = shapes.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     content = texts.groupBy("host", "node").agg(F.sum("p").alias("n"), F.sum(F.col("p") * F.log("p")).alias("plogp"))
@@ -278,8 +291,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     columns are ignored; pages are parsed whole.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("html")).withColumn("host", host_of(F.col("url")))
-    low = style_tree(rows.select("host", "html")).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD))
-    low = common.written(low.groupBy("host").agg(F.collect_set("node").alias("removed")))
+    found = common.written(_rows(rows.select("host", "html")))  # pages are parsed once for it
+    low = _tree(found).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).select("host", "node", "pages")
+    many = (F.col("p") > 1) & (F.log("p") >= THRESHOLD * F.log("pages"))
+    low = common.written(_texts(found).join(low, ["host", "node"]).where(many).groupBy("host").agg(F.collect_set("text").alias("removed")))
     if (low.agg(F.sum(F.size("removed"))).first()[0] or 0) <= BROADCAST_NODES:
         rows = rows.join(F.broadcast(low), "host", "left")
     else:
@@ -293,10 +308,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
             texts = []
             for source, removed in zip(pdf["html"], pdf["removed"], strict=True):
                 found, _ = blocks(source)
-                kept = _candidates(found)
                 if removed is not None and len(removed):
-                    gone = set(removed)
-                    kept = [x for x in kept if xxhash.xxh3_64_intdigest(x[0]) - (1 << 63) not in gone] or kept
+                    last = set(removed)
+                    of = {x: xxhash.xxh3_64_intdigest(f"{x[0]}\0{x[1]}") - (1 << 63) in last for x in {f[:2] for f in found}}
+                    kept = _candidates(found, [of[f[:2]] for f in found])
+                    kept = [x for x in kept if not of[x]] or kept
+                else:
+                    kept = _candidates(found)
                 texts.append("\n\n".join(t for _, t in kept))
             yield pd.DataFrame({"key": pdf["key"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
