@@ -56,3 +56,10 @@ def test_hints_around_the_page_do_not_empty_it():
 def test_low_nodes_keep_unique_texts(spark):
     pages = [(f"http://h.example/{i}", f"<article><h1>Title {i}</h1><p>Unique paragraph {i}</p><p>Same on all pages</p></article>") for i in range(30)]
     assert extracted(spark, pages) == {i: f"Title {i}\n\nUnique paragraph {i}" for i in range(30)}
+
+
+@pytest.mark.parametrize("m", [2, 5])
+def test_small_hosts_are_judged(spark, m):
+    pages = [(f"http://h.example/{i}", f"<div class='x'><p>Own words {i}</p></div><div class='z'>Same end</div>") for i in range(m)]
+    pages.append(("http://single.example/", "<div class='x'><p>Own words</p></div><div class='z'>Same end</div>"))
+    assert extracted(spark, pages) == {i: f"Own words {i}" for i in range(m)} | {m: "Own words\n\nSame end"}

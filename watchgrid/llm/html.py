@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from watchgrid.llm import common
 
-#: A node needs so many pages of a host for its importance to count, and is removed below the threshold. PRESENTATION is the share of the presentation's importance.
-LEAST_PAGES, THRESHOLD, PRESENTATION = 8, 0.5, 0.1
+#: A node's importance is averaged over its pages and PRIOR pages more that would give it full importance; below the threshold it is low. Two pages are the least that can repeat
+#: anything. PRESENTATION is the share of the presentation's importance.
+PRIOR, THRESHOLD, PRESENTATION = 1, 0.5, 0.1
 #: Removed texts that are broadcast; more are joined by a salted shuffle.
 BROADCAST_NODES, SALTS = 200_000, 16
 
@@ -288,11 +289,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     """(key, url, text, n_chars) per page row: the blocks of the main text in page order, joined by two newlines; empty if there is none.
 
     A null page is empty; a null url makes a host of its own. A page whose blocks would all be removed keeps what the hints left. Repeated rows give repeated results; other
-    columns are ignored; pages are parsed whole.
+    columns are ignored; pages are parsed whole. On a host with a single distinct page nothing can be told to be repeated; on one with few pages a text that most of them share
+    counts as boilerplate, also where it is an article that they all carry.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("html")).withColumn("host", host_of(F.col("url")))
     found = common.written(_rows(rows.select("host", "html")))  # pages are parsed once for it
-    low = _tree(found).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).select("host", "node", "pages")
+    smooth = (F.col("pages") * F.col("importance") + PRIOR) / (F.col("pages") + PRIOR)
+    low = _tree(found).where((F.col("pages") > 1) & (smooth < THRESHOLD)).select("host", "node", "pages")
     many = (F.col("p") > 1) & (F.log("p") >= THRESHOLD * F.log("pages"))
     low = common.written(_texts(found).join(low, ["host", "node"]).where(many).groupBy("host").agg(F.collect_set("text").alias("removed")))
     if (low.agg(F.sum(F.size("removed"))).first()[0] or 0) <= BROADCAST_NODES:
