@@ -63,3 +63,13 @@ def test_small_hosts_are_judged(spark, m):
     pages = [(f"http://h.example/{i}", f"<div class='x'><p>Own words {i}</p></div><div class='z'>Same end</div>") for i in range(m)]
     pages.append(("http://single.example/", "<div class='x'><p>Own words</p></div><div class='z'>Same end</div>"))
     assert extracted(spark, pages) == {i: f"Own words {i}" for i in range(m)} | {m: "Own words\n\nSame end"}
+
+
+@pytest.mark.parametrize("tag", ["object", "select", "svg", "math", "template", "noscript"])
+def test_unclosed_elements_lose_nothing(tag):
+    assert left(f"<p>one</p><{tag}><p>two</p><p>three</p>") == ["one", "two", "three"]
+
+
+def test_math_and_preformatted_text_stay():
+    page = "<article><p>Let <math><mi>x</mi></math> be</p><xmp>a &lt; <b></xmp><p>q <svg><text>no</text></svg> r</p><object>shown</object><select><option>z</select></article>"
+    assert left(page) == ["Let x be", "a &lt; <b>", "q r", "shown"]

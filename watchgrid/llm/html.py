@@ -32,11 +32,14 @@ BROADCAST_NODES, SALTS = 200_000, 16
 
 # Fixed values of the markup language, and words in classes, ids and roles.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp noembed noframes".split())
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+# Elements without text of the page, left out when they are closed; of svg and select only where no other block begins before, which would end them.
+_QUIET = {t: re.compile(rf"<(/?){t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("noscript", "template", "annotation", "annotation-xml")}
+_QUIET |= {t: re.compile(rf"<(?:(/?){t}|(?:{'|'.join(sorted(_BLOCK - {'option', 'optgroup', 'hr'}))}))(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("svg", "select")}
 _CLOSES_P = _BLOCK - frozenset("body html button caption tbody td tfoot th thead tr legend option optgroup".split())
 _HINT_TAGS = frozenset("nav aside footer form button dialog menu".split())
 _HINT_WORDS = frozenset(
@@ -152,11 +155,17 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, _Scope | None, _Sco
                 close({tag}, frozenset() if tag in _BLOCK else _BLOCK)
             continue
         if tag in _RAW:
-            if attributes.endswith("/") and tag in ("svg", "math"):
-                continue
             found = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(source, at)
+            if tag == "xmp":  # shown as it stands
+                flush()
+                text.append(html.escape(source[at : found.start() if found else n]))
+                flush()
             at = found.end() if found else n
             continue
+        if tag in _QUIET:
+            if not attributes.endswith("/") and (found := _QUIET[tag].search(source, at)) and found[1]:
+                at = found.end()
+            continue
         if tag == "head" or tag in _VOID:
             if tag in ("br", "hr", "img"):
                 flush() if tag == "hr" else text.append(" ")
