@@ -73,3 +73,9 @@ def test_unclosed_elements_lose_nothing(tag):
 def test_math_and_preformatted_text_stay():
     page = "<article><p>Let <math><mi>x</mi></math> be</p><xmp>a &lt; <b></xmp><p>q <svg><text>no</text></svg> r</p><object>shown</object><select><option>z</select></article>"
     assert left(page) == ["Let x be", "a &lt; <b>", "q r", "shown"]
+
+
+def test_long_and_deep_elements_count_whole():
+    styles = [html.blocks("<div>" + "<p>x</p>" * 70 + end + "</div>")[1][">div"] for end in ("<ul><li>y</ul>", "<pre>y</pre>")]
+    assert styles[0] != styles[1]
+    assert left("<main><p>text of some length</p><section>" + "<i>" * 300 + "<b hidden><p>hidden</p></b>" + "</i>" * 300 + "</section></main>") == ["text of some length"]

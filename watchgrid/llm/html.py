@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,10 +66,10 @@ class _Scope:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "hint", "mark", "children")
+    __slots__ = ("tag", "path", "hint", "mark", "children", "block")
 
-    def __init__(self, tag: str, path: str, hint: _Scope | None, mark: _Scope | None):
-        self.tag, self.path, self.hint, self.mark, self.children = tag, path, hint, mark, []
+    def __init__(self, tag: str, path: str, hint: _Scope | None, mark: _Scope | None, block: int = 0):
+        self.tag, self.path, self.hint, self.mark, self.children, self.block = tag, path, hint, mark, [], block
 
 
 def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
@@ -94,37 +94,33 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, _Scope | None, _Sco
     scopes = 0
     text: list[str] = []
     styles: dict[str, tuple[str, ...]] = {}
-    counts: Counter[str] = Counter()  # open elements by tag: no step looks through a deep stack in vain
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements by tag, as block is that of the innermost block: no step looks through a deep stack
 
     def flush() -> None:
         joined = "".join(text)
         if joined and (clean := " ".join(html.unescape(joined).split())):
-            top = next(e for e in reversed(stack) if e.tag in _BLOCK or not e.tag)
+            top = stack[stack[-1].block]
             out.append((top.path, clean, stack[-1].hint, stack[-1].mark))
         text.clear()
 
     def push(e: _Element) -> None:
+        places[e.tag].append(len(stack))
         stack.append(e)
-        counts[e.tag] += 1
 
     def pop() -> None:
         e = stack.pop()
-        counts[e.tag] -= 1
+        places[e.tag].pop()
         styles.setdefault(e.path, tuple(e.children))
 
     def close(tags, stop=frozenset()) -> None:
         """Ends the innermost open element of these tags, if none of stop is inside."""
-        if not any(counts[t] for t in tags):
+        k = max((places[t][-1] for t in tags if places[t]), default=0)
+        if not k or (stop is _BLOCK and stack[-1].block > k) or (stop is not _BLOCK and any(places[t] and places[t][-1] > k for t in stop)):
             return
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                if any(e.tag in _BLOCK for e in stack[k:]):
-                    flush()
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k].tag in stop:
-                return
+        if stack[-1].block >= k:
+            flush()
+        while len(stack) > k:
+            pop()
 
     source = source or ""
     at, n = 0, len(source)
@@ -149,7 +145,7 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, _Scope | None, _Sco
         if end:
             if tag == "br":
                 text.append(" ")
-            elif tag == "p" and not counts["p"]:
+            elif tag == "p" and not places["p"]:
                 flush()
             elif tag not in ("body", "html"):
                 close({tag}, frozenset() if tag in _BLOCK else _BLOCK)
@@ -182,14 +178,13 @@ def blocks(source: str | None) -> tuple[list[tuple[str, str, _Scope | None, _Sco
             hinted = False  # of the article itself
         elif tag == "header":
             hinted = True
-        if len(parent.children) < 64:
-            parent.children.append(style)
+        parent.children.append(style)
         above = parent.path if len(parent.path) < 400 else hashlib.sha1(parent.path.encode("utf-8", "replace")).hexdigest()
         path = f"{above}>{style}" if tag in _BLOCK else parent.path
-        if tag in _BLOCK or len(stack) < 200:
-            scopes += 1
-            marked = inside and not hinted and not parent.mark
-            push(_Element(tag, path, _Scope(scopes, parent.hint) if hinted else parent.hint, _Scope(scopes, parent.hint) if marked else parent.mark))
+        scopes += 1
+        marked = inside and not hinted and not parent.mark
+        hint, mark = _Scope(scopes, parent.hint) if hinted else parent.hint, _Scope(scopes, parent.hint) if marked else parent.mark
+        push(_Element(tag, path, hint, mark, len(stack) if tag in _BLOCK else parent.block))
     flush()
     while len(stack) > 1:
         pop()
