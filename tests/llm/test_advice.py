@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from watchgrid.llm import caps, common, html
+from watchgrid.llm import caps, common, html, mixing
 
 
 def pairs(rng, n, dim, cosine):
@@ -79,3 +79,15 @@ def test_long_and_deep_elements_count_whole():
     styles = [html.blocks("<div>" + "<p>x</p>" * 70 + end + "</div>")[1][">div"] for end in ("<ul><li>y</ul>", "<pre>y</pre>")]
     assert styles[0] != styles[1]
     assert left("<main><p>text of some length</p><section>" + "<i>" * 300 + "<b hidden><p>hidden</p></b>" + "</i>" * 300 + "</section></main>") == ["text of some length"]
+
+
+def test_mix_shuffles_whole_shards(spark):
+    docs = common.written(spark.createDataFrame([(i, f"{i} " + "w " * (i % 7 + 3), "ab"[i % 2]) for i in range(600)], "doc_id long, text string, source string"))
+    drawn = mixing.mix(docs).where("copy IS NOT NULL").toPandas()
+    assert drawn["block"].nunique() > 8 and drawn["shard"].nunique() > 8
+    for _, shard in drawn.groupby("shard"):
+        assert sorted(shard["place"]) == list(range(1, len(shard) + 1))
+    want = [r.doc_id for r in drawn.sort_values(["shard", "place"]).itertuples()]
+    assert [r["doc_id"] for r in mixing.drawn_rows(docs).collect()] == want and want != sorted(want)
+    places = {r["doc_id"]: r["places"] for r in mixing.digest(docs).collect()}
+    assert places == {i: ",".join(map(str, drawn[drawn["doc_id"] == i].sort_values(["shard", "place"])["place"])) for i in range(600)}

@@ -3,7 +3,8 @@
 Documents fall into blocks of their source by a keyed hash; a keyed permutation of the blocks says which of them a source's target reaches, epoch by epoch. What each source
 contributes is thus an exact quota of block draws. A binary tree over the output shards splits the vector of quotas: the left half of the shards receives a multivariate
 hypergeometric sample of the parent's draws, the right half the rest, down to single shards, so that every shard holds a random, exactly balanced share and no draw twice.
-A shard's draws of a source are the next ones of the source's permuted sequence, hence disjoint; inside a shard the documents are shuffled by a keyed hash.
+A shard's draws of a source are the next ones of the source's permuted sequence, hence disjoint; inside a shard the documents are shuffled by a keyed hash,
+which is ranked over the whole shard in ranges of the hash.
 
 Only the statistics of a source (one row each) come to the driver; blocks and documents stay distributed. Sources are the entries of a mixture's configuration; a mixture
 over more than MAX_SOURCES sources is refused with an error rather than cut.
@@ -20,6 +21,8 @@ from watchgrid.llm import common
 #: Blocks of a source: one for each so many words, within these limits. A block is the unit that goes to a shard; the last one that a target reaches is cut between documents.
 BLOCK_WORDS, MIN_BLOCKS, MAX_BLOCKS = 20_000, 16, 4096
 SHARDS = 16
+#: A shard's shuffle is ranked in 2^RANGE_BITS ranges of the hash.
+RANGE_BITS = 12
 MAX_SOURCES = 100_000
 SEED = 20
 
@@ -63,7 +66,7 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _unit(*keys) -> Column:
-    return F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys])
+    return F.xxhash64(*[F.col(k) if isinstance(k, str) else F.lit(k) for k in keys])
 
 
 def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -75,8 +78,13 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     """
     sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     plan = plan_mix(sized, weights, share, most, shards, seed)
-    place = F.row_number().over(Window.partitionBy("shard", "source", "block", "copy").orderBy(_unit("doc_id", seed, "copy"), "doc_id"))
-    drawn = plan.draws.withColumn("place", F.when(F.col("copy").isNotNull(), place))
+    draws = common.written(plan.draws.withColumn("h", _unit("doc_id", seed, "copy")).withColumn("range", F.shiftright("h", 64 - RANGE_BITS)))
+    taken, alone = draws.where("copy IS NOT NULL"), draws.where("copy IS NULL").withColumn("place", F.lit(None).cast("long"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = taken.groupBy("shard", "range").agg(F.count("*").alias("n")).select("shard", "range", before.alias("start"))
+    nth = F.row_number().over(Window.partitionBy("shard", "range").orderBy("h", "doc_id", "source", "size", "copy", "row"))
+    taken = taken.withColumn("nth", nth).join(starts, ["shard", "range"]).withColumn("place", F.col("start") + F.col("nth"))
+    drawn = taken.unionByName(alone, allowMissingColumns=True)
     return drawn.select("row", "doc_id", "source", "size", "source_size", "target", "copy", "shard", "block", "place")
 
 
@@ -137,21 +145,22 @@ class plan_mix:  # noqa: N801
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """One row per document row, repeated ones each: doc_id, size, source, source_size, target, taken (words of all its draws), n_draws, shards (of its draws)."""
+    """One row per document row, repeated ones each: doc_id, size, source, source_size, target, taken (words of all its draws), n_draws, shards (of its draws), places (in these shards)."""
     drawn = mix(docs, **options)
     return drawn.groupBy("row", "doc_id", "size", "source", "source_size", "target").agg(
-        F.sum(F.expr("CASE WHEN copy IS NULL THEN 0 ELSE size END")).cast("long").alias("taken"), F.count("copy").alias("n_draws"), F.concat_ws(",", F.array_sort(F.collect_list("shard"))).alias("shards")
+        F.sum(F.expr("CASE WHEN copy IS NULL THEN 0 ELSE size END")).cast("long").alias("taken"), F.count("copy").alias("n_draws"), F.concat_ws(",", F.array_sort(F.collect_list("shard"))).alias("shards"),
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col("copy").isNotNull(), F.struct("shard", "place")))), lambda x: x["place"].cast("string"))).alias("places"),
     ).drop("row")
 
 
 def drawn_rows(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, with their columns, each as often as the mix draws it. Rows that repeat a key with one size are drawn alike."""
-    many = digest(docs, key=key, **options).where("n_draws > 0").groupBy("doc_id", "size", "source").agg(F.max("n_draws").alias("n_draws"))
+    """The rows of docs, with their columns, each as often as the mix draws it, in the order of shards and of places in them. Rows that repeat a key with one size are drawn alike."""
+    many = mix(docs, key=key, **options).where("copy IS NOT NULL").groupBy("doc_id", "size", "source", "copy").agg(F.min(F.struct("shard", "place")).alias("at_"))
     text, source = options.get("text", "text"), options.get("source", "source")
-    many = many.select(F.col("doc_id").alias("k_"), F.col("size").alias("s_"), F.col("source").alias("o_"), F.explode(F.expr("sequence(1, int(n_draws))")).alias("c_"))
+    many = many.select(F.col("doc_id").alias("k_"), F.col("size").alias("s_"), F.col("source").alias("o_"), "at_")
     sized = docs.withColumn("w_", word_count(F.col(text)))
     same = sized[key].eqNullSafe(many["k_"]) & (sized["w_"] == many["s_"]) & sized[source].eqNullSafe(many["o_"])
-    return sized.join(many, same).select(*[sized[c] for c in docs.columns])
+    return sized.join(many, same).orderBy("at_").select(*[sized[c] for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
