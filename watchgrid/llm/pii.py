@@ -2,8 +2,9 @@
 
 High-recall generators propose overlapping spans of four kinds (email, ip, card, phone); boosted trees score each candidate from its format and its context; thresholds
 calibrated per kind on held-out candidates select what is redacted. Candidates that a strict pattern and its check (parts of an address, Luhn, number of digits) confirm
-form the base and stay whatever their score. The trees are trained on the driver from a fixed number of generated sentences (TRAIN_SENTENCES), so the model never depends on
-the input; scoring is one pass over the texts, without a shuffle.
+form the base and stay whatever their score; of the others those that overlap the base are dropped. The trees are trained on the driver from a fixed number of generated
+sentences (TRAIN_SENTENCES), and calibrated on sentences with other words, cues and formats (HELD_SENTENCES), so the model never depends on the input; scoring is one pass over
+the texts, without a shuffle. Every pattern takes time linear in the text, whatever it holds.
 """
 
 from __future__ import annotations
@@ -24,20 +25,21 @@ from watchgrid.llm import common
 from watchgrid.llm.boosting import Trees
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_SENTENCES = 2400
+TRAIN_SENTENCES, HELD_SENTENCES = 2400, 2400
 #: Least precision on held-out candidates at which a threshold is accepted.
 PRECISION = 0.99
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match never begins inside a run of digits: it would begin at the run's start as well
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
-#: Generators of further candidates; spans may overlap each other and the base.
+#: Generators of further candidates; spans may overlap each other and the base. Spelled-out addresses are found from their "at" (see _spelled).
+_AT = re.compile(r"\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?")
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]++)+")
 _LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,24}){1,3}"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\.|\[\.\])\x20?[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:([\x20._-])[0-9]{4}(?:\1[0-9]{4}){2}|[\x20-][0-9]{6}[\x20-][0-9]{5}))(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
@@ -93,12 +95,26 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 _HAS_DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile(r"[0-9]|@|\(at\)|\[at\]|\x20at\x20[A-Za-z0-9-]+\x20?(?:\.|\x20dot\x20|\(dot\)|\[dot\])")
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses that spell their "at": the whole run of characters of a local part, "at", and labels joined by dots, written or spelled."""
+    end = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        if start < m.start() and (domain := _SPELLED_DOMAIN.match(text, m.end())):
+            yield start, domain.end()
+        end = m.end()
 
 
 def candidates(text: str) -> list[tuple[int, str, int]]:
-    """Spans of the loose generators."""
-    return sorted((m.start(), k, m.end()) for k, p in _LOOSE.items() for m in p.finditer(text))
+    """Spans of the loose generators. A generator is passed over only where the text lacks a character or word that all of its spans have."""
+    found = [(a, "email", b) for a, b in _spelled(text)] if "at" in text else []
+    if _HAS_DIGIT.search(text):
+        found += [(m.start(), k, m.end()) for k, p in _LOOSE.items() for m in p.finditer(text)]
+    return sorted(found)
 
 
 def features(text: str, start: int, kind: str, end: int) -> list[float]:
@@ -116,59 +132,89 @@ def features(text: str, start: int, kind: str, end: int) -> list[float]:
     ]
 
 
-def _sentences(n: int, seed: int) -> Iterator[tuple[str, list[tuple[str, str, bool]]]]:
-    """Generated texts, each with pieces (kind, piece, whether it is personal data)."""
-    r = random.Random(seed)
-    syllables = "an er th in on re he ed or es ti st le ou la de en ver ge un que ment ción".split()
-    word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
-    number = lambda k: "".join(r.choices("0123456789", k=k))
+#: Fixed values of the generated sentences: syllables and cues for training, and others for calibration.
+_TRAIN_WORDS = ("an er th in on re he ed or es ti st le ou la de en ver ge un que ment ción", "call phone tel mobile card visa payment host server client write contact", "version order invoice isbn part total number build lot sku")
+_HELD_WORDS = ("ka mo ri sul tan wex bor pli dja nu gro fen zi hal öst", "telephone cell fax reach mail email mastercard amex pay ip address login", "section chapter serial page ref item release id model")
 
-    def card(good: bool) -> str:
-        d = r.choice("3456") + number(14)
-        last = next(c for c in "0123456789" if luhn(d + c))
-        return d + (last if good else str((int(last) + r.randint(1, 9)) % 10))
 
+def _card(r: random.Random, good: bool) -> str:
+    d = r.choice("3456") + "".join(r.choices("0123456789", k=14))
+    last = next(c for c in "0123456789" if luhn(d + c))
+    return d + (last if good else str((int(last) + r.randint(1, 9)) % 10))
+
+
+def _piece(r: random.Random, kind: str, good: bool, held: bool, word) -> str:
+    """A span of a kind, or what looks like one; held ones come in other formats."""
+    number = lambda k: "".join(r.choices("0123456789", k=k))
+    if kind == "email":
+        if not good:
+            return f"{word()} at {word()}{r.choice(('. ', ' . ')).join(('', word().title())) if r.random() < 0.8 else '.' + word()}"
+        at, dot = r.choice(((" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", ".")) if held else ((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", "."), ("[at]", ".")))
+        return f"{word()}{r.choice('_-' if held else '.')}{word()}{at}{word()}{dot}{r.choice(sorted(_TOP))}"
+    if kind == "ip":
+        if not good:
+            return ".".join(str(r.randint(200, 999)) for _ in range(4))
+        return r.choice((".", " . ") if held else (".", ".", "[.]")).join(str(r.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        c = _card(r, good)
+        return r.choice((c, c, r.choice("-." if held else " _").join(c[i : i + 4] for i in range(0, 16, 4))))
+    a, b, c = number(3), number(3), number(4)
+    if not good:
+        return r.choice((f"{number(2)}-{b}-{number(4)}", f"{number(4)}.{b}.{c}") if held else (f"{number(4)} {number(4)} {number(4)}", f"{number(4)}-{b}-{c}"))
+    code = r.randint(1, 99)
+    return r.choice((f"({a}) {b}.{c}", f"+{code} ({a}) {b} {c}", f"+{code}.{a}.{b}.{c}") if held else (f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{code} {a} {b} {c}", f"+{code} ({a}) {b}-{c}", f"{a}.{b}.{c}"))
+
+
+def _sentences(n: int, seed: int, held: bool = False) -> Iterator[tuple[str, list[tuple[str, str, bool]]]]:
+    """Generated texts, each with pieces (kind, piece, whether it is personal data). At times a piece stands right before a number of another kind, which strict patterns run into."""
+    r = random.Random(seed)
+    syllables, good_cues, bad_cues = (x.split() for x in (_HELD_WORDS if held else _TRAIN_WORDS))
+    word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
     for _ in range(n):
-        what, good = r.choice(KINDS), r.random() < 0.5
-        if what == "email":
-            at, dot = r.choice(((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", "."), ("(at)", "."), ("[at]", ".")))
-            piece = f"{word()}.{word()}{at}{word()}{dot}{r.choice(sorted(_TOP))}" if good else f"{word()} at {word()}{r.choice(('. ', '.', ' . '))}{word()}"
-        elif what == "ip":
-            piece = ".".join(str(r.randint(0, 255)) for _ in range(4)) if good else ".".join(str(r.randint(200, 999)) for _ in range(4))
-            piece = piece.replace(".", "[.]") if good and r.random() < 0.3 else piece
-        elif what == "card":
-            c = card(good)
-            piece = r.choice((c, c, r.choice(" -._").join(c[i : i + 4] for i in range(0, 16, 4))))
-        else:
-            a, b, c = number(3), number(3), number(4)
-            piece = r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"{a}.{b}.{c}")) if good else r.choice((f"{number(4)} {number(4)} {number(4)}", f"{number(2)}-{number(3)}-{number(4)}", f"{number(4)}.{b}.{c}"))
-        cue = r.choice(sorted(_FOR if good else _AGAINST)) if (good and what == "phone") or r.random() < 0.5 else word()
-        again = f" {piece}" if good and what == "card" and r.random() < 0.3 else ""
-        yield f"{word()} {word()} {cue} {piece}{again} {word()} {word()}{r.choice('.,! ')}", [(what, piece, good)]
+        kind, good = r.choice(KINDS), r.random() < 0.5
+        piece = _piece(r, kind, good, held, word)
+        cue = r.choice(good_cues if good else bad_cues) if (good and kind == "phone" and piece[0] != "+") or r.random() < 0.4 else word()
+        pieces = [(kind, piece, good)]
+        if kind != "email" and r.random() < 0.25:
+            other = r.choice(("ip", "card"))
+            pieces.append((other, _card(r, True) if other == "card" else ".".join(str(r.randint(0, 255)) for _ in range(4)), True))
+        yield f"{word()} {word()} {cue} {' '.join(p for _, p, _ in pieces)} {word()} {word()}{r.choice('.,! ')}", pieces
 
 
 @functools.cache
 def model() -> tuple[Trees, dict[str, float]]:
-    """Trees and the threshold of each kind: the smallest at which held-out candidates reach PRECISION, or 1 if none does. Deterministic."""
-    x, y, kinds = [], [], []
-    for text, pieces in _sentences(TRAIN_SENTENCES, 7):
-        for a, k, b in candidates(text):
-            x.append(features(text, a, k, b))
-            y.append(float(any(k == kind and good and text[a:b] == piece for kind, piece, good in pieces)))
-            kinds.append(k)
-    x, y, kinds, part = np.array(x), np.array(y), np.array(kinds), np.arange(len(y)) % 4
-    trees = Trees().fit(x[part < 2], y[part < 2]).calibrate(x[part == 2], y[part == 2])
-    p, thresholds = trees.probability(x), {}
+    """Trees and the threshold of each kind: the smallest at which held-out candidates reach PRECISION, or 1 if none does. Deterministic.
+
+    Half of the held-out candidates calibrate the probabilities, the other half the thresholds.
+    """
+
+    def table(n: int, seed: int, held: bool):
+        x, y, kinds = [], [], []
+        for text, pieces in _sentences(n, seed, held):
+            for a, k, b in candidates(text):
+                x.append(features(text, a, k, b))
+                y.append(float(any(k == kind and good and text[a:b] == piece for kind, piece, good in pieces)))
+                kinds.append(k)
+        return np.array(x), np.array(y), np.array(kinds)
+
+    x, y, _ = table(TRAIN_SENTENCES, 7, False)
+    trees = Trees().fit(x, y)
+    x, y, kinds = table(HELD_SENTENCES, 8, True)
+    half = np.arange(len(y)) % 2 == 0
+    p, thresholds = trees.calibrate(x[half], y[half]).probability(x), {}
     for k in KINDS:
-        held = (kinds == k) & (part == 3)
-        fit = [t for t in np.unique(p[held]) if y[held & (p >= t)].mean() >= PRECISION]
-        thresholds[k] = max(0.5, float(min(fit))) if fit else 1.0
+        own = (kinds == k) & ~half
+        order = np.argsort(-p[own], kind="stable")
+        score, right = p[own][order], np.cumsum(y[own][order])
+        last = np.concatenate([score[1:] < score[:-1], [True]]) if len(score) else np.empty(0, dtype=bool)  # of equal scores
+        fit = score[last & (right / np.arange(1, len(score) + 1) >= PRECISION)]
+        thresholds[k] = max(0.5, float(fit.min())) if len(fit) else 1.0
     return trees, thresholds
 
 
 def spans(text: str | None, trees: Trees, thresholds: dict[str, float]) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """The base spans, and all spans: the base, and candidates over the threshold that overlap neither the base nor a better candidate."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return [], []
     base = base_spans(text)
     more = _apart(candidates(text), sorted((a, b) for a, _, b in base))
@@ -213,7 +259,7 @@ def redact(text: str | None, found) -> str | None:
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans, n_added, redacted.
+    """One row per document: key, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans, n_spans (base and added ones), n_added, redacted.
 
     Null and empty texts have no spans; redacted keeps a null. Repeated rows give repeated results; other columns are ignored. Long texts are scanned whole.
     """
@@ -226,12 +272,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for t in pdf["text"]:
                 base, found = spans(t, *fitted)
                 n = [sum(k == kind for _, k, _ in base) for kind in KINDS]
-                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), len(found) - len(base), redact(t, found)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "redacted"], index=pdf.index)
+                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), len(found), len(found) - len(base), redact(t, found)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added", "redacted"], index=pdf.index)
             yield pd.concat([pdf[["key"]], out], axis=1)
 
     key_type = df.schema["key"].dataType.simpleString()
-    out = df.mapInPandas(scan, f"key {key_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
+    out = df.mapInPandas(scan, f"key {key_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long, redacted string")
     return out.withColumnRenamed("key", key)
 
 
