@@ -22,9 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the folder that driver and executors share (spark.checkpoint.dir); only where that is unset, as in tests, a local one."""
+    """A new folder name in the folder that driver and executors share (spark.checkpoint.dir); where that is unset, a local one for a local master, and an error for a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='watchgrid-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/watchgrid-{uuid.uuid4().hex}"
@@ -37,10 +39,28 @@ def deleted_on_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, safe against the loss of any executor."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing will read again."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bytes of an Arrow batch between the JVM and a Python worker; either side holds a few of them for each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session's Python operators run over batches of BATCH_BYTES at most (one row at least), however long the rows are; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, its lineage cut, safe against the loss of any executor. With a path of shared_dir() it can be discarded early."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(spark)
     df.write.parquet(path)
     deleted_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
