@@ -6,8 +6,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,21 +95,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Rows of two ids (16 bytes) that one task or a broadcast takes; larger tables are shuffled.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of a few ids a row, with a hint to broadcast it if it has no more than SMALL_ROWS rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest member of each component of n nodes with links i to j."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): for each node of the undirected edges the smallest node that it reaches.
+    """(node, component): for each node of the undirected edges between longs the smallest node that it reaches. Edges with a null end or equal ends are ignored.
 
-    Alternating large and small stars: every round moves each edge towards the smallest known neighbour, so that a round needs one aggregation and one join over at most as
-    many edges as it got; the number of rounds is logarithmic in the longest shortest path. Rounds are cut by written tables. Edges with a null end or equal ends are ignored.
+    Up to SMALL_ROWS edges are joined in one task. More of them go through alternating large and small stars: every round moves each edge towards the smallest known neighbour, so
+    that a round needs two aggregations and joins over at most as many edges as it got; the number of rounds is logarithmic in the longest shortest path. Rounds are cut by
+    written tables.
     """
     edges = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct())
+    if edges.count() <= SMALL_ROWS:
+
+        def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype=np.int64), *batches])
+            nodes, at = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+            root = roots(len(nodes), at[0::2], at[1::2])
+            yield pd.DataFrame({"node": nodes, "component": nodes[root]})
+
+        return edges.coalesce(1).mapInPandas(joined, "node long, component long")
     before = None
     while True:
         both = edges.unionByName(edges.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("explode(array(struct(v as u, m as v), struct(u as u, m as v))) e").selectExpr("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small)
+        near = large.join(least, "u").selectExpr("explode(array(struct(v as u, m as v), struct(u as u, m as v))) e").selectExpr("e.u", "e.v").where("u <> v").distinct()
+        edges = written(near)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

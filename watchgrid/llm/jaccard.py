@@ -11,9 +11,10 @@ segments more than the pigeonhole needs; each set then leaves out as many of its
 its size and segment), so the last equal one in that order is never left out by either: no pair is lost.
 
 Signatures travel as packed arrays, one row per input block and shard, and meet in shards. Equal sets are one class from the start, so copies cost nothing. Classes that share
-a signature form a bucket; pairs of a bucket are tested first by a parity bitmap, whose Hamming distance never exceeds the sets' difference, then exactly. Only connectivity is
-asked for, so large buckets are joined by stars around a central set and verified in rounds; a round takes up the buckets that still hold several components, with ever more
-pairs, until no untested pair of two components remains. The result is that of testing all pairs.
+a signature form a bucket; pairs of a bucket are tested first by a parity bitmap, whose Hamming distance never exceeds the sets' difference, then by a wider one, then exactly.
+Only connectivity is asked for, so large buckets are joined by stars around a central set and verified in rounds, in each of which one pair of every set goes first and then those
+that still lie in two components; a round takes up the buckets that hold several components, with ever more pairs, until no untested pair of two components remains. The result
+is that of testing all pairs.
 
 Node ids are 64-bit hashes of whole sets: two different sets among N have the same id with probability N^2 / 2^65.
 """
@@ -41,8 +42,6 @@ COLLISION_COST = 50.0
 BITMAP = 1024
 #: Signatures that a task holds before it packs them.
 PIECE_SIGNATURES = 1_000_000
-#: Rows of two ids are broadcast only up to this many (16 MB); above, the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
 SMALL_BUCKET = 3
 #: Members of a larger bucket that may become its centre; a centre needs this share of the best one's reach.
 TRIED, REACH = 24, 0.9
@@ -170,6 +169,12 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((mix(s) & _U(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
 
 
+def wide(s: np.ndarray) -> bytes:
+    """A bitmap that grows with the set, to four bits an element or more."""
+    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((mix(s) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 # ------------------------------------------------------------------- operator
 
 
@@ -179,6 +184,7 @@ def indexed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     A bucket has the nodes that share a signature, for signatures that several nodes have, at least one of them with a whole subset. Equal lists of nodes may come up in several
     shards; they have one id.
     """
+    common.small_batches(docs.sparkSession)
     shards = common.partitions(docs.sparkSession)
     columns = ["shard", "ids", "sigs", "at", "keys", "maps"]
 
@@ -370,8 +376,49 @@ def pairs_of(members: DataFrame, most: int) -> DataFrame:
     return members.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInPandas(pairs, "a long, b long").distinct()
 
 
+def first_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs: for each node that with its smallest partner. They join most of what all pairs join, and meet around the same partners."""
+    both = pairs.unionByName(pairs.selectExpr("b AS a", "a AS b"))
+    return both.groupBy("a").agg(F.min("b").alias("b")).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+
+
+def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Those of pairs whose ends have different labels (node, component)."""
+    if labels is None:
+        return pairs
+    labels = common.small(labels)
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+    return pairs.where("a_in IS NULL OR b_in IS NULL OR a_in <> b_in").select("a", "b")
+
+
+def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y, p, q): pairs with a column of their sets and the sets' sizes. What b has goes to a, whose own travels once. A small number of pairs meets b without a shuffle."""
+    pairs = common.small(pairs)
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col(column).alias("y"), F.col("n").alias("q")), "b")
+    other = sets.join(pairs.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), F.col(column).alias("x"), F.col("n").alias("p"))
+    return one.join(other, "a").select("a", "b", "x", "y", "p", "q")
+
+
+def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs whose wide bitmaps allow similarity: nearly only similar ones, for a sixteenth of the bytes of whole sets."""
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = []
+            for x, y, p, q in zip(pdf["x"], pdf["y"], pdf["p"], pdf["q"], strict=True):
+                x, y = (np.frombuffer(v, dtype=np.uint64) for v in (x, y))
+                while len(x) != len(y):  # the larger is folded: halves of a parity bitmap add up to that of half the size
+                    x, y = sorted((x, y), key=len)
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                ok.append(int(np.bitwise_count(x ^ y).sum()) <= differ(p + q))
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return _met(pairs, sets, "wide").mapInPandas(test, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) by exact intersection of the sets. pairs is read twice; up to BROADCAST_ROWS of them meet the first set without a shuffle."""
+    """Those of pairs that are similar, by exact intersection of the sets."""
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -380,26 +427,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 s, t = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 linked.append(DEN * both >= NUM * (len(s) + len(t) - both))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": linked})
+            yield pdf.loc[linked, ["a", "b"]]
 
-    few = pairs.count() <= BROADCAST_ROWS
-    one = (F.broadcast(pairs) if few else pairs).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y").mapInPandas(test, "a long, b long, linked boolean")
+    return _met(pairs, sets, "shingles").mapInPandas(test, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, shingles) for rows (node, key) of documents that have these sets."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(node, n, shingles, wide bitmap) for rows (node, key) of documents that have these sets, written to the path. Sets may come up more than once."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler()
         for pdf in batches:
             sets = [shingle(t) for t in pdf["text"]]
-            out = pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in sets]})
+            out = pd.DataFrame({"node": pdf["node"], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "wide": [wide(s) for s in sets]})
             yield out[[node_id(s) == node for s, node in zip(sets, pdf["node"], strict=True)]]  # rows with equal keys may differ in their texts
 
-    few = nodes.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return common.written(texts.join(F.broadcast(nodes) if few else nodes, "key").select("node", "text").mapInPandas(scan, "node long, shingles binary"))
+    found = texts.join(common.small(nodes), "key").select("node", "text").mapInPandas(scan, "node long, n long, shingles binary, wide binary")
+    return common.written(found, path)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,36 +454,72 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Keys must be integers and should be unique; a row with a null key has links only if a row with the same set has a key, and a null component otherwise. Other columns are
     ignored; texts are used whole.
     """
+    spark = docs.sparkSession
     index = indexed(docs, key, text)
-    found = common.written(_documents(index))
-    known = found.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
-    keys = found.where("key IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
+    documents = _documents(index)
+    found = common.written(documents.drop("bitmap"))
+    known = common.written(documents.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"), F.min("key").alias("key")))  # a row per distinct set
     members = _members(index)
     links = labels = tested = None
     open_ = members.withColumn("label", F.col("node"))
     for most in (0, 64, 1 << 60):
-        new = common.written(pairs_of(open_.join(known, "node"), most))
+        new = common.written(pairs_of(open_.join(known.drop("key"), "node"), most))
         pairs = new.where("b IS NOT NULL")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(pairs)
-        nodes = common.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"))
+        ends = common.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        nodes = common.written(known.where("key IS NOT NULL").select("node", "key").join(common.small(ends), "node", "left_semi"))
         if not nodes.isEmpty():
-            judged = common.written(verified(pairs, shingle_sets(docs, nodes, key, text)).distinct())
-            tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-            linked = judged.where("linked").select("a", "b")
-            links = linked if links is None else links.unionByName(linked)
-            labels = common.components(links)
+            sets = shingle_sets(docs, nodes, key, text, path := common.shared_dir(spark))
+            near = common.written(close(pairs, sets))
+            for some in (first_pairs, lambda rest: apart(rest, labels)):  # then what these leave in different components
+                some = common.written(some(near))
+                if some.isEmpty():
+                    continue
+                linked = common.written(verified(some, sets))
+                if not linked.isEmpty():
+                    links = linked if links is None else links.unionByName(linked)
+                    labels = common.written(common.components(links))
+            common.discard(spark, path)
+            tested = pairs if tested is None else tested.unionByName(pairs)
         more = new.where("b IS NULL").select(F.col("a").alias("bucket"))
         if more.isEmpty():
             break
         open_ = members.join(more, "bucket", "left_semi")
-        open_ = open_.withColumn("label", F.col("node")) if labels is None else open_.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-    out = found.withColumn("component", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = out.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("least"))
-    out = out.join(least, "component", "left")
+        open_ = open_.withColumn("label", F.col("node")) if labels is None else open_.join(common.small(labels), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+        open_ = common.written(open_)
+        mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = open_.join(mixed, "bucket", "left_semi")
+    # The smallest key of each node's component is written, so that joins of many copies, or of a large component, are plain shuffles that Spark splits where they are skewed.
+    least = known.select("node", "key")
+    if labels is not None:
+        few = common.small(labels)
+        keys = common.written(least.join(few, "node").groupBy("component").agg(F.min("key").alias("least")))
+        reached = common.written(labels.join(common.small(keys), "component").select("node", "least"))
+        least = least.join(common.small(reached), "node", "left").select("node", F.coalesce("least", "key").alias("key"))
+    least = common.written(least.select("node", F.col("key").alias("least")))
+    out = found.join(least, "node", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.read(spark, sf_dir, "documents"))
+
+
+#: Words are runs of characters other than space and \x09 to \x0D, so that joined shingles are equal only if their words are.
+SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM t
+),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS a, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+k AS (SELECT a, min(c) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, k.component_id FROM s JOIN k ON k.a = s.doc_id
+"""
