@@ -25,8 +25,9 @@ from watchgrid.llm import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters of distinct chunks that are matched at a time, chunks that a task remembers, and the longest chunk that is relaxed along with all others.
-BATCH_CHARS, REMEMBERED, LONG = 300_000, 200_000, 48
+#: Characters of distinct chunks that are matched at a time, occurrences of pieces that are placed at a time, chunks that a task remembers, and the longest chunk that is relaxed
+#: along with all others. A single chunk is never cut: it takes some 250 bytes a character.
+BATCH_CHARS, EDGES, REMEMBERED, LONG = 200_000, 200_000, 200_000, 48
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -112,12 +113,18 @@ class Model:
         low = packed(lambda k: cols[k] if k < self.longest else none)
         high = packed(lambda k: np.where(lengths > k, cols[k], base - 1) if k < self.longest else none)
         lo, hi = _search(keys, low, "left"), _search(keys, high, "right")
+        table, order = np.full((n, self.longest), -1, dtype=np.int32), order.astype(np.int32)  # edges by position and length
+        del keys, low, high, ahead, codes, room, end_of
         counts = hi - lo
-        piece = np.repeat(np.arange(len(used)), counts)
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        position = order[np.repeat(lo, counts) + within]
-        table = np.full((n, self.longest), -1, dtype=np.int32)  # edges by position and length
-        table[position, lengths[piece] - 1] = normal[piece]
+        ends = np.cumsum(counts)
+        first = 0
+        while first < len(used):  # some pieces at a time: their occurrences are many times the text
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + EDGES, side="right")))
+            own = counts[first:last]
+            piece = np.repeat(np.arange(first, last, dtype=np.int32), own)
+            within = np.arange(len(piece)) - np.repeat(np.cumsum(own) - own, own)
+            table[order[lo[piece] + within], lengths[piece] - 1] = normal[piece]
+            first = last
         return table
 
     # --------------------------------------------------------------- relaxation
@@ -363,6 +370,7 @@ def _sliced(batches: Iterator[pd.Series], rows: int = 500) -> Iterator[pd.Series
 
 def encode(text: Column, path: str = MODEL) -> Column:
     """Array of ids of a text column; empty for null and empty texts."""
+    common.small_batches(SparkSession.active())
     raw = load(path)
 
     def ids(batches):
@@ -378,6 +386,7 @@ def encode(text: Column, path: str = MODEL) -> Column:
 
 def decode(ids: Column, path: str = MODEL) -> Column:
     """Text of a column of id arrays; null for null."""
+    common.small_batches(SparkSession.active())
     raw = load(path)
 
     def texts(s):
@@ -394,6 +403,7 @@ def tokenize(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str
     Null and empty texts have no ids. Repeated rows give repeated results; other columns are ignored. Texts that hold U+2581 come back with spaces in its place, as the model
     cannot tell the two apart.
     """
+    common.small_batches(docs.sparkSession)
     raw = load(path)
 
     def both(batches):

@@ -263,6 +263,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Null and empty texts have no spans; redacted keeps a null. Repeated rows give repeated results; other columns are ignored. Long texts are scanned whole.
     """
+    common.small_batches(docs.sparkSession)
     df = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     fitted = model()
 
@@ -283,6 +284,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redacted(text: Column) -> Column:
     """A text column with its personal data replaced by kind."""
+    common.small_batches(SparkSession.active())
     fitted = model()
     return F.pandas_udf(lambda s: s.map(lambda t: redact(t, spans(t, *fitted)[1])), "string")(text)
 

@@ -176,6 +176,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     A null payload is empty. Of rows with equal payloads of at least LEAST_REVISIT bytes those with the smallest key are responses and the others revisit it; a null key is
     larger than any other. Equal digests are looked for among digests alone; the join back is salted, so that one payload on a third of all pages spreads over many tasks.
     """
+    common.small_batches(pages.sparkSession)
     df = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
     df = df.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", F.pmod(F.xxhash64("k", "url"), F.lit(SALTS)).cast("int"))
     first = df.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -249,6 +250,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.shared_dir(spark)
     manifest = write_archives(common.read(spark, sf_dir, "pages"), folder)
+    common.deleted_on_exit(spark, folder)
     found = read_archives(manifest, folder)
     return found.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
