@@ -89,32 +89,20 @@ def scheme(dim: int, largest: int, least: float) -> tuple[int, int, int]:
         caps *= 2
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest member of each component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def link(table: DataFrame, least: float = LEAST, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(key, n_links, component_id, kept) per row: other rows linked to it, the smallest key that links reach, and whether that is its own.
+    """(key, n_links, component_id, kept) per row: other rows linked to it, the smallest key that links reach, and whether that is its own (null for a null key).
 
-    Rows link when their labels are equal and not null and the cosine of their vectors, in double precision, is at least `least`. Null labels, and vectors that are null, zero
+    Rows that repeat a key with different labels or vectors are vectors of their own, each with its own links. Rows link when their labels are equal and not null and the cosine of their vectors, in double precision, is at least `least`. Null labels, and vectors that are null, zero
     or hold null or non-finite components, link with nothing. Usable vectors must have one length. Repeated rows link with each other.
     """
     spark = table.sparkSession
+    common.small_batches(spark)
     rows = vectors.as_double(table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.col(label).alias("label")), "v")
     rows = rows.withColumn("ok", vectors.usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    classes = common.written(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    classes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = common.written(classes.withColumn("rep", F.monotonically_increasing_id()))  # a number for each class: ids may repeat
     one = classes.select(F.size("v").alias("dim")).first()
-    alone = rows.where("NOT ok").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = rows.where("NOT ok").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), (F.col("id") == F.col("id")).alias("kept"))
     if one is None:
         return alone
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
@@ -134,7 +122,7 @@ def link(table: DataFrame, least: float = LEAST, key: str = "vec_id", vector: st
                     out += [(own, int(g), rep, copies, raw, caps) for g in np.unique(ids // filters.block)]
                 yield pd.DataFrame(out, columns=["label", "code", "rep", "copies", "v", "caps"])
 
-    placed = classes.mapInPandas(place, f"label {kind}, code long, rep long, copies long, v binary, caps binary")
+    placed = classes.select("label", "v", "rep", "copies").mapInPandas(place, f"label {kind}, code long, rep long, copies long, v binary, caps binary")
     sizes = classes_per_code(placed)
     hot = sizes.where(F.col("n") > CHUNK).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
     placed = placed.join(hot, ["label", "code"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -170,7 +158,7 @@ def link(table: DataFrame, least: float = LEAST, key: str = "vec_id", vector: st
             common_ = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a < np.iinfo(np.int64).max)
             mine[k : k + step] = a[np.arange(len(a)), common_.argmax(axis=1)] // block == code
         links = np.bincount(i[mine], weights=copies[j[mine]], minlength=len(x)) + np.bincount(j[mine], weights=copies[i[mine]], minlength=len(x))
-        some, root = np.flatnonzero(links), _roots(len(x), i, j)
+        some, root = np.flatnonzero(links), common.roots(len(x), i, j)
         tied = np.flatnonzero(root != np.arange(len(x)))
         out = pd.DataFrame({"a": rep[some], "b": rep[some], "links": links[some].astype(np.int64)})
         return pd.concat([out, pd.DataFrame({"a": rep[tied], "b": rep[root[tied]], "links": 0})])
@@ -178,8 +166,10 @@ def link(table: DataFrame, least: float = LEAST, key: str = "vec_id", vector: st
     met = common.written(placed.groupBy("label", "code", "x", "y").applyInPandas(meet, "a long, b long, links long"))
     degree = met.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     groups = common.components(met.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    joined = classes.join(degree, "rep", "left").join(groups, "rep", "left")
-    joined = joined.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    groups = common.written(groups)
+    least = common.written(groups.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id")))
+    joined = classes.join(degree, "rep", "left").join(groups.join(least, "component").select("rep", "component_id"), "rep", "left")
+    joined = joined.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     linked = rows.where("ok").join(joined, ["label", "v"]).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)
 
@@ -190,3 +180,20 @@ def classes_per_code(placed: DataFrame) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(common.read(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+),
+u AS (
+  SELECT vec_id, label, x FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len([c for c in x if c IS NULL OR NOT isfinite(c)]) = 0 AND len([c for c in x if c <> 0]) > 0
+),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+k AS (SELECT a, min(c) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, k.component_id, v.vec_id = k.component_id AS kept
+FROM v LEFT JOIN k ON k.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": jaccard.SQL,
     "op8_warc_zip": warc.SQL,
+    "op9_spherical_caps": caps.SQL,
 }
