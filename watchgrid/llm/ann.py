@@ -2,8 +2,8 @@
 
 The trees are fitted on a bounded sample (SAMPLE vectors with the smallest keyed hashes; all, if there are fewer): a node cuts its part of the sample at the median of the
 widest of a few random projections. They are a fixed number of arrays and go to every task; every vector is then indexed by its leaf in each tree. A query searches all trees
-through one priority queue, which holds the branches not taken by their distance to the cut, until it has visited its share of the leaves. Leaves are dealt over shards by
-hash; a shard gets its vectors, and each query once with the leaves that it visits there, and ranks the union of these leaves exactly. Large leaves spread over chunks.
+through one priority queue, which holds the branches not taken by their distance to the cut, until it has visited its share of the leaves. That share is the least with which
+PROBES vectors of the sample reach RECALL among the sample (see `needed`), so that it follows the structure of the vectors. Leaves are dealt over shards by hash; a shard gets its vectors, and each query once with the leaves that it visits there, and ranks the union of these leaves exactly. Large leaves spread over chunks.
 
 Copies of a vector beyond the TOP + 1 smallest ids can't be among a query's TOP nearest, as ties go to smaller ids, and are left out of the index; equal queries are searched
 once. Neither changes a result.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from watchgrid.llm import common, vectors
 
 TOP, TREES, SAMPLE, TRIED, SEED = 5, 16, 20_000, 3, 2
-#: Members of the sample in a leaf, and the share of all leaves that a query visits. Vectors without any structure need such a share for a recall above 0.95.
-LEAF, SHARE = 40, 0.055
+#: Members of the sample in a leaf; the recall that the visits are to reach, and the vectors of the sample that it is measured with.
+LEAF, RECALL, PROBES = 40, 0.96, 150
 #: Vectors of a leaf that one shard takes; larger leaves are split over several.
 CHUNK = 20_000
 
@@ -83,17 +83,41 @@ class Forest:
         return np.array(out)
 
 
+def needed(forest: Forest, sample: np.ndarray, top: int = TOP, recall: float = RECALL, probes: int = PROBES) -> int:
+    """The least number of visits with which evenly spaced probes find `recall` of their `top` nearest others in the sample; in a denser table neighbours are nearer, and easier to find."""
+    x, own = vectors.unit(sample), np.unique(np.linspace(0, len(sample) - 1, min(probes, len(sample))).astype(int))
+    leaves = forest.leaf_of(sample) + np.arange(forest.trees)[:, None] * forest.leaves
+    best = []
+    for q in own:
+        near = x @ x[q]
+        near[q] = -2
+        top_ = np.argpartition(-near, min(top, len(x) - 1))[:top]
+        best.append(top_[near[top_] > -2])
+    total = forest.trees * forest.leaves
+    for visits in (total // 8, total):  # few probes need more than the first
+        first = []
+        for q, found in zip(own, best, strict=True):
+            place, order = np.full(total, total), forest.search(x[q], visits)
+            place[order] = np.arange(len(order))
+            first += place[leaves[:, found]].min(axis=0).tolist()  # the visit that meets a neighbour first
+        most = int(np.quantile(first, recall, method="higher")) if first else 0
+        if most < visits:
+            break
+    return 1 + most
+
+
 def _prepared(table: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.as_double(table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(vectors.usable(F.col("v")) & F.col("id").isNotNull()), "v")
 
 
-def nearest(table: DataFrame, is_query: Column, top: int = TOP, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, top: int = TOP, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query (on column `id`) selects, its `top` nearest other rows found, by cosine in double precision, ties to smaller ids.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part; the others must have one length. Rows that repeat an id are one
     candidate each time their vectors differ. Fewer candidates than `top` give fewer rows; an empty table none.
     """
     spark = table.sparkSession
+    common.small_batches(spark)
     rows = _prepared(table, key, vector)
     same = Window.partitionBy("v").orderBy("id")
     index = common.written(rows.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= top + 1).select("id", "v"))
@@ -101,9 +125,10 @@ def nearest(table: DataFrame, is_query: Column, top: int = TOP, key: str = "vec_
     picked = index.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample).collect()  # at most `sample` vectors
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = Forest(vectors.matrix([r["v"] for r in picked]), trees)
+    fitted = vectors.matrix([r["v"] for r in picked])
+    forest = Forest(fitted, trees)
     model = spark.sparkContext.broadcast(forest)  # bounded by the sample
-    visits = max(trees, math.ceil(share * trees * forest.leaves))
+    visits = max(trees, needed(forest, fitted, top, recall))
     shards, chunks = common.partitions(spark), max(1, math.ceil(total / (forest.leaves * CHUNK)))
     queries = rows.where(is_query)
     distinct = queries.groupBy("v").agg(F.min("id").alias("q"))
