@@ -120,7 +120,7 @@ class plan_mix:  # noqa: N801
         ends = at.join(F.broadcast(partial), ["s", "block"], "left_semi").withColumn("through", F.sum("size").over(within))  # one block of each source at most
         ends = ends.join(F.broadcast(blocks.where("part > 0 AND part < words").select("s", "block", "part")), ["s", "block"])
         inside = ends.where("2 * through - size <= 2 * part").select("row", "s", "block", F.lit(1).alias("extra"))
-        cut = cut.join(F.broadcast(blocks.where("part = words").select("s", "block", F.lit(1).alias("whole"))), ["s", "block"], "left")
+        cut = cut.join(common.small(blocks.where("part = words").select("s", "block", F.lit(1).alias("whole"))), ["s", "block"], "left")
         cut = cut.join(inside, ["row", "s", "block"], "left")
         self.taken = cut.withColumn("copies", F.expr("CASE WHEN size = 0 THEN 0 ELSE epochs + coalesce(whole, extra, 0) END"))
         self.shards, self.seed = shards, seed

@@ -58,8 +58,8 @@ def _length(s: np.ndarray) -> str:
 LABELLERS = (_bad(1, 0.4), _bad(2, 0.03), _bad(3, 0.25), _length, _bad(5, 0.2), _bad(6, 0.12, above=False, least_words=40), _bad(7, 0.4), _bad(8, 0.25, above=False, least_words=20), _bad(9, 0.3), _prose)
 
 
-def votes(text: str | None) -> str:
-    s, _ = statistics(text)
+def votes(s: np.ndarray) -> str:
+    """The labellers' votes on a text's statistics."""
     return "".join(f(s) for f in LABELLERS)
 
 
@@ -106,9 +106,8 @@ _PAIRS = _hash(np.arange(65536))
 _BINS = np.array([0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed indices, values): shares of the neighbouring byte shapes, by their square roots, and a unit for the bin of each statistic."""
-    s, shape = statistics(text)
+def features(s: np.ndarray, shape: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed indices, values) of a text's statistics and shape: shares of the neighbouring byte shapes, by their square roots, and a unit for the bin of each statistic."""
     b = np.frombuffer(shape, dtype=np.uint8).astype(np.uint16)
     n = np.bincount((b[:-1] << np.uint16(8)) | b[1:], minlength=1) if len(b) > 1 else np.zeros(1)
     pairs = np.flatnonzero(n)
@@ -140,8 +139,8 @@ class Scorer:
             ahead, ahead_b = new + np.float32((t - 1) / t2) * (new - self.weights), new_b + (t - 1) / t2 * (new_b - self.bias)
             self.weights, self.bias, t = new, new_b, t2
 
-    def probability(self, text: str | None) -> float:
-        i, v = features(text)
+    def probability(self, s: np.ndarray, shape: bytes) -> float:
+        i, v = features(s, shape)
         return float(1 / (1 + np.exp(-np.clip(self.weights[i] @ v + self.bias, -60, 60))))
 
 
@@ -149,7 +148,8 @@ class Classifier:
     """Fitted to all texts of docs. With no sign of one of the classes everything belongs to the other."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE):
-        vote = F.pandas_udf(lambda s: s.map(votes), "string")
+        common.small_batches(docs.sparkSession)
+        vote = F.pandas_udf(lambda s: s.map(lambda t: votes(statistics(t)[0])), "string")
         cast = common.written(docs.select(F.col(key).alias("key"), vote(F.coalesce(F.col(text), F.lit(""))).alias("pattern")))
         counts = {r["pattern"]: r["n"] for r in cast.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3^10 patterns
         self.labels = WeakLabels(counts)
@@ -163,10 +163,11 @@ class Classifier:
             chosen = spark.createDataFrame([(r["key"], self.labels.posteriors[r["pattern"]]) for r in picked], f"key {cast.schema['key'].dataType.simpleString()}, label double")
 
             def hashed(s: pd.Series) -> pd.DataFrame:
-                found = [features(t) for t in s]
+                found = [features(*statistics(t)) for t in s]
                 return pd.DataFrame({"i": [i.tolist() for i, _ in found], "v": [v.tolist() for _, v in found]})
 
             texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # 2 * sample rows
+            texts = texts.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row of a repeated key
             rows = texts.select("key", "label", F.pandas_udf(hashed, "i array<int>, v array<double>")(F.coalesce("text", F.lit(""))).alias("f")).orderBy("key", "label").collect()
             self.scorer = Scorer([(np.array(r["f"]["i"]), np.array(r["f"]["v"])) for r in rows], np.array([r["label"] for r in rows]))
         self.default = 1.0 if good or not counts else 0.0
@@ -175,7 +176,11 @@ class Classifier:
         scorer, default, posteriors = self.scorer, self.default, self.labels.posteriors
 
         def judge(s: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame({"score": [scorer.probability(t) if scorer else default for t in s], "posterior": [posteriors.get(votes(t), float("nan")) for t in s]})
+            rows = []
+            for t in s:
+                found = statistics(t)
+                rows.append((scorer.probability(*found) if scorer else default, posteriors.get(votes(found[0]), float("nan"))))
+            return pd.DataFrame(rows, columns=["score", "posterior"], dtype="float64")
 
         return F.pandas_udf(judge, "score double, posterior double")
 
@@ -185,7 +190,7 @@ class Classifier:
 
     def probability(self, text: Column) -> Column:
         scorer, default = self.scorer, self.default
-        return F.pandas_udf(lambda s: s.map(lambda t: scorer.probability(t) if scorer else default), "double")(F.coalesce(text, F.lit("")))
+        return F.pandas_udf(lambda s: s.map(lambda t: scorer.probability(*statistics(t)) if scorer else default).astype("float64"), "double")(F.coalesce(text, F.lit("")))
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
