@@ -111,6 +111,10 @@ def sealed_ledger(spark, sf_dir):
 
 
 QUERIES["sealed_ledger"] = sealed_ledger
+_LEDGER = "c AS (SELECT row_number() OVER (ORDER BY t, seq) - 1 AS n, concat_ws('|', artifact, coalesce(old, '-'), new) AS text FROM rec WHERE type = 'change')"
+ORACLE_SQL["sealed_ledger"] = f"""WITH RECURSIVE {RECORDS}, {_LEDGER},
+l AS (SELECT CAST(-1 AS BIGINT) AS n, repeat('0', 64) AS hash UNION ALL SELECT c.n, sha256(l.hash || c.text) FROM l JOIN c ON c.n = l.n + 1)
+SELECT c.n, c.text, l.hash FROM c JOIN l USING (n)"""
 
 
 def ledger_check(spark, sf_dir):

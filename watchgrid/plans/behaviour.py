@@ -189,6 +189,44 @@ SELECT pt.trace_id, count(h.ts) > 0 AS detected, round(min(h.ts), 6) AS first, c
 FROM pt LEFT JOIN h USING (trace_id) WHERE part = 'val' GROUP BY pt.trace_id"""
 
 
+def full_stack_alarms(spark, sf_dir):
+    """Alarms of all 13 detectors on the later chunks, calibrated on the first ones."""
+    trace, names = _chunks(spark, sf_dir), lenses.DEFAULT
+    series = tables.written(lenses.series(trace, PROFILE, names))
+    s = stack.scores(series, trace, names).join(stack.split_chronological(trace), "trace_id")
+    th = tables.written(stack.calibrate(s.where("part = 'cal'"), len(names)))
+    val = s.where("part = 'val'").select("trace_id").distinct()
+    e = stack.evaluate(series.join(val, "trace_id", "left_semi"), val, th, names)
+    return _round(e.select("trace_id", "detected", "first", F.array_join("fired", ",").alias("fired"), F.col("n_fired").cast("long").alias("n_fired")), "first")
+
+
+QUERIES["full_stack_alarms"] = full_stack_alarms
+
+
+def kind_divergence(spark, sf_dir):
+    """How far the shares of kinds in even and in odd chunks lie apart, in bits."""
+    n = views.chunks(spark, sf_dir).where("chan = 0").groupBy(F.col("kind")).agg(F.sum((F.col("trace_id") % 2 == 0).cast("double")).alias("p"), F.sum((F.col("trace_id") % 2).cast("double")).alias("q"))
+    both = n.agg(F.array_sort(F.collect_list(F.struct("kind", "p", "q"))).alias("x"))  # six kinds
+    return _round(both.select(scalars.jsd(F.transform("x", lambda r: r["p"]), F.transform("x", lambda r: r["q"])).alias("bits")), "bits", places=9)
+
+
+QUERIES["kind_divergence"] = kind_divergence
+ORACLE_SQL["kind_divergence"] = f"""WITH {CHUNKS}, n AS (SELECT kind, sum(CASE WHEN trace_id % 2 = 0 THEN 1.0 ELSE 0.0 END) AS p, sum(CASE WHEN trace_id % 2 = 1 THEN 1.0 ELSE 0.0 END) AS q FROM r GROUP BY kind),
+s AS (SELECT (p + 1e-12) / sum(p + 1e-12) OVER () AS p, (q + 1e-12) / sum(q + 1e-12) OVER () AS q FROM n)
+SELECT round(sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2, 9) AS bits FROM s"""
+
+
+def spot_checks(spark, sf_dir):
+    """Probability that k spot checks of a part's lot find at least one fault, and the harm of some attacks on it."""
+    p = views.table(spark, sf_dir, "part")
+    harm = F.create_map(F.lit("exfil"), F.col("p_retailprice") * 100, F.lit("loop"), F.col("p_size").cast("double"), F.lit("ctrl"), (F.col("p_partkey") % 3).cast("double"))
+    return _round(p.select("p_partkey", scalars.spotcheck_detect(F.col("p_size") / 100, F.col("p_partkey") % 20).alias("found"), scalars.harm_score(harm).alias("harm")), "found", "harm")
+
+
+QUERIES["spot_checks"] = spot_checks
+ORACLE_SQL["spot_checks"] = "SELECT p_partkey, round(1 - pow(1 - p_size / 100, p_partkey % 20), 6) + 0.0 AS found, round(p_retailprice * 100 / 1e5 + p_size / 50.0 + (p_partkey % 3) / 0.2, 6) + 0.0 AS harm FROM part"
+
+
 def false_alarm_rate(spark, sf_dir):
     return _round(stack.false_alarm_rate(_alarms(spark, sf_dir)), "rate")
 

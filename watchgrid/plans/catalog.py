@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from watchgrid.plans import accounts, behaviour, ensemble, language, pressure
+from watchgrid.plans import accounts, behaviour, ensemble, language, logs, pressure
 
-_PARTS = (behaviour, accounts, ensemble, language, pressure)
+_PARTS = (behaviour, accounts, ensemble, language, logs, pressure)
 
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

@@ -118,6 +118,32 @@ QUERIES["leave_one_out"] = leave_one_out
 ORACLE_SQL["leave_one_out"] = f"WITH {_DM} SELECT dm.monitor, round(avg(CAST(f - detected > 0 AS INT)), 6) AS coverage FROM dm JOIN it USING (item) WHERE f > 0 GROUP BY dm.monitor"
 
 
+def strengths_caught(spark, sf_dir):
+    """The smallest strength from which the items of a family are caught; families and strengths by the number of the chunk."""
+    t = _table(spark, sf_dir)
+    items = t.select("item").distinct().select("item", F.concat(F.lit("f"), F.col("item") % 3).alias("family"), F.pow(F.lit(2.0), F.col("item") % 4).alias("k"))
+    return detection.smallest_caught(items, detection.ensemble(t.where(F.col("monitor").isin("burst", "books"))))
+
+
+QUERIES["strengths_caught"] = strengths_caught
+ORACLE_SQL["strengths_caught"] = f"""WITH {_DM}, c AS (SELECT item, max(detected) AS caught FROM dm WHERE monitor IN ('burst', 'books') GROUP BY item),
+fk AS (SELECT concat('f', item % 3) AS family, pow(2.0, item % 4) AS k, avg(caught) AS rate FROM c GROUP BY 1, 2) SELECT family, min(CASE WHEN rate >= 0.8 THEN k END) AS k80 FROM fk GROUP BY family"""
+
+
+def near_copies(spark, sf_dir):
+    """The representative of every detector that ever fires; those that detect nearly alike share one."""
+    rep, _ = detection.independent(_table(spark, sf_dir), 0.5)
+    return spark.createDataFrame(sorted(rep.items()), "monitor string, representative string")
+
+
+QUERIES["near_copies"] = near_copies
+ORACLE_SQL["near_copies"] = f"""WITH RECURSIVE {_DM}, lv AS (SELECT DISTINCT monitor FROM dm WHERE detected = 1),
+pr AS (SELECT a.monitor AS a, b.monitor AS b FROM dm a JOIN dm b ON a.item = b.item AND a.monitor <> b.monitor GROUP BY 1, 2
+  HAVING bool_and(a.detected = b.detected) OR coalesce({_NAN.format("corr(CAST(a.detected AS DOUBLE), CAST(b.detected AS DOUBLE))")} >= 0.5, false)),
+rc AS (SELECT monitor AS a, monitor AS c FROM lv UNION SELECT pr.b, rc.c FROM rc JOIN pr ON pr.a = rc.a JOIN lv ON lv.monitor = pr.b)
+SELECT a AS monitor, min(c) AS representative FROM rc GROUP BY a"""
+
+
 def gate_decision(spark, sf_dir):
     """The gate's criteria over the detection table, the later chunks' alarms and the accounts."""
     table = _table(spark, sf_dir)
@@ -125,7 +151,7 @@ def gate_decision(spark, sf_dir):
     names = F.array(*[F.lit(n) for n in behaviour.PLAIN])
     clean = late.select(F.col("trace_id").alias("item"), F.explode(names).alias("monitor"), "fired").select("item", "monitor", F.array_contains("fired", F.col("monitor")).cast("int").alias("detected"))
     records = tables.written(views.updates(spark, sf_dir))
-    pace = accounting.pacing(records).first().asDict()
+    pace = accounting.assessed(records)
     found = gate.criteria(gate.Evidence(detections=table, clean=clean, findings=tables.written(accounting.reconcile(records)), pacing=pace))
     return gate.as_table(spark, [*found, gate.Criterion("decision", gate.decide(found))])
 

@@ -7,9 +7,10 @@ from dataclasses import asdict
 from pyspark.sql import functions as F
 
 from watchgrid.operators import accounting, attacks, drift, lenses, profile, stack, weights
-from watchgrid.plans import behaviour
+from watchgrid.plans import accounts, behaviour
 from watchgrid.plans.behaviour import _round
 from watchgrid.sources import files, tables, views
+from watchgrid.sources.incidents import INCIDENTS
 
 QUERIES, ORACLE_SQL = {}, {}
 _FAST = ("burst", "sweep", "ctrl", "netvol", "books", "drift_chain")
@@ -33,7 +34,8 @@ def incident_events(spark, sf_dir):
 
 
 QUERIES["incident_events"] = incident_events
-ORACLE_SQL["incident_events"] = "SELECT * FROM (VALUES ('hf_2026_07', 0, CAST(16521 AS BIGINT)), ('hf_2026_07', 1, 16521), ('miasma_2026_06', 0, 35), ('miasma_2026_06', 1, 35)) x(attack, chan, n)"
+_PHASES = ", ".join(f"('{n}', {p['actions']})" for n in files.list_incidents() for p in INCIDENTS[n]["phases"])
+ORACLE_SQL["incident_events"] = f"SELECT attack, CAST(c.chan AS INT) AS chan, CAST(sum(actions) AS BIGINT) AS n FROM (VALUES {_PHASES}) p(attack, actions), (VALUES (0), (1)) c(chan) GROUP BY attack, c.chan"
 
 
 def _cal(spark, sf_dir, names):
@@ -87,6 +89,10 @@ def ablation(spark, sf_dir):
 
 
 QUERIES["ablation"] = ablation
+_N = len(behaviour.PLAIN)
+ORACLE_SQL["ablation"] = f"""WITH {behaviour._scores_sql()}{behaviour._CAL}, v AS (SELECT * FROM (VALUES ('full', {_N}, ''), ('without books', {_N - 1}, 'books')) x(variant, m, gone)),
+t AS (SELECT variant, lens, list_sort(list(score))[CAST(ceil((1 - 0.05 / m) * (count(*) - 1)) AS INT) + 1] AS tau FROM sc JOIN pt USING (trace_id), v WHERE part = 'cal' AND lens <> gone GROUP BY variant, m, lens)
+SELECT variant, sc.trace_id, max(CAST(score > tau AS INT)) AS detected FROM sc JOIN pt USING (trace_id) JOIN t USING (lens) WHERE part = 'val' GROUP BY variant, sc.trace_id"""
 
 
 def _synthetic(spark):
@@ -106,8 +112,9 @@ QUERIES["library_coverage"] = library_coverage
 
 
 def fuzz_escapes(spark, sf_dir):
+    """Random harmful attacks that no detector notices."""
     traces, prof, th = _synthetic(spark)
-    return attacks.fuzz(traces.where("trace_id >= 40"), prof, _FAST, th, n=40).withColumn("fired", F.array_join("fired", ","))
+    return attacks.fuzz(traces.where("trace_id >= 40"), prof, _FAST, th, n=40).where("NOT detected").withColumn("fired", F.array_join("fired", ","))
 
 
 QUERIES["fuzz_escapes"] = fuzz_escapes
@@ -129,6 +136,12 @@ def simulated_updates(spark, sf_dir):
 
 
 QUERIES["simulated_updates"] = simulated_updates
+_DRAW = "(('0x' || substr(md5(id || ':0:{0}'), 1, 8))::UBIGINT / 4294967296.0)"
+_SIMULATED = f"""
+s0 AS (SELECT id, -ln(greatest({_DRAW.format("gap")}, 1e-12)) * 86400 / 8 AS gap, -ln(greatest({_DRAW.format("work")}, 1e-12)) * 86400 / 3 AS work FROM range(240) x(id)),
+s1 AS (SELECT *, sum(gap) OVER (ORDER BY id) AS t, sum(work) OVER (ORDER BY id) AS done FROM s0), s2 AS (SELECT id, t, done + max(t - done + work) OVER (ORDER BY id) AS r FROM s1),
+chg AS (SELECT t, CASE WHEN r <= 2592000.0 THEN r END AS review_t FROM s2 WHERE t <= 2592000.0), rec AS (SELECT t + 30 AS t FROM chg UNION ALL SELECT review_t FROM chg WHERE review_t IS NOT NULL)"""
+ORACLE_SQL["simulated_updates"] = accounts.ORACLE_SQL["pacing"].replace(accounts.REVIEWS, _SIMULATED)
 
 
 def exported_events(spark, sf_dir):

@@ -16,13 +16,15 @@ LOADERS: dict = {}
 
 
 def _lines(spark: SparkSession, path: str, pattern: str = "*.jsonl*") -> DataFrame:
-    """Lines of a file, or of all files below a folder that match; gzip is read as it is."""
+    """Lines of a file, of all files below a folder that match, or of the files that a path with wildcards names; gzip is read as it is."""
     reader = spark.read.option("recursiveFileLookup", True)
     return reader.text(path).where(F.trim("value") != "") if not _is_folder(spark, path) else reader.option("pathGlobFilter", pattern).text(path).where(F.trim("value") != "")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if any(c in path for c in "*?[{"):
+        return False
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(conf).getFileStatus(p).isDirectory()
 

@@ -15,14 +15,22 @@ def deleted_on_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that driver and executors share (spark.checkpoint.dir; a local one only where that is unset): computed once, whatever is lost later."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name in the folder that driver and executors share (spark.checkpoint.dir); where that is unset, a local one for a local master, and an error for a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='watchgrid-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/watchgrid-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/watchgrid-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, whatever is lost later."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
     deleted_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
