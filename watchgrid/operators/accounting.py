@@ -100,6 +100,16 @@ def reconcile(records: DataFrame, sla_hours: float = 24.0, tol: float = 60.0, en
     return own.unionByName(lost).unionByName(live).unionByName(late)
 
 
+def _backlog(changes: DataFrame, g: DataFrame) -> DataFrame:
+    """(i, at, step, b): the backlog on a grid of at most 200 points, from one row with n, t0, t1 and h. Events are counted into the grid's steps, then summed up along it."""
+    grid = g.select("n", "t0", F.greatest(F.greatest("h", "t1") - F.col("t0"), F.lit(1e-9)).alias("len"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    grid = grid.select("i", (F.col("t0") + F.col("len") * F.col("i") / (F.col("n") - 1)).alias("at"), (F.col("len") / (F.col("n") - 1) / 86400).alias("step"))
+    d = changes.select(F.col("t").alias("at"), F.lit(1).alias("d")).unionByName(changes.where("review_t IS NOT NULL").select(F.col("review_t").alias("at"), F.lit(-1).alias("d")))
+    cell = d.crossJoin(F.broadcast(g.select("t0", "n", F.greatest(F.greatest("h", "t1") - F.col("t0"), F.lit(1e-9)).alias("len"))))  # one row
+    cell = cell.withColumn("i", F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("t0")) * (F.col("n") - 1) / F.col("len"))).cast("int")).groupBy("i").agg(F.sum("d").alias("d"))
+    return grid.join(F.broadcast(cell), "i", "left").withColumn("b", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def pacing(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = None) -> DataFrame:
     """One row: rates a day, backlog now and at its peak on a grid, its slope a day, lags of reviews. Rates and the slope are null below two days of history."""
     changes, _ = reviewed(records)
@@ -110,13 +120,7 @@ def pacing(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = No
         F.avg(F.when(F.col("review_t").isNotNull(), (lag <= sla_hours * 3600).cast("double"))).alias("within"),
     ).crossJoin(horizon)
     g = g.withColumn("days", F.greatest((F.col("h") - F.col("t0")) / 86400, F.lit(1e-9))).withColumn("n", F.greatest(F.lit(20), F.least(F.lit(200), F.floor(F.col("days") * 2))).cast("int"))
-    grid = g.select("n", "t0", F.greatest(F.greatest("h", "t1") - F.col("t0"), F.lit(1e-9)).alias("len"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    grid = grid.select("i", (F.col("t0") + F.col("len") * F.col("i") / (F.col("n") - 1)).alias("at"), (F.col("len") / (F.col("n") - 1) / 86400).alias("step"))
-    # Events are counted into the grid's steps (at most 200), then summed up along it.
-    d = changes.select(F.col("t").alias("at"), F.lit(1).alias("d")).unionByName(changes.where("review_t IS NOT NULL").select(F.col("review_t").alias("at"), F.lit(-1).alias("d")))
-    cell = d.crossJoin(F.broadcast(g.select("t0", "n", F.greatest(F.greatest("h", "t1") - F.col("t0"), F.lit(1e-9)).alias("len"))))  # one row
-    cell = cell.withColumn("i", F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("t0")) * (F.col("n") - 1) / F.col("len"))).cast("int")).groupBy("i").agg(F.sum("d").alias("d"))
-    run = grid.join(F.broadcast(cell), "i", "left").withColumn("b", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    run = _backlog(changes, g)
     trend = run.agg(F.max("b").alias("peak_backlog"), (F.regr_slope("b", "i") / F.first("step")).alias("growth_per_day"))
     enough = F.col("days") >= 2
     out = g.crossJoin(trend)
@@ -127,6 +131,21 @@ def pacing(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = No
     )
 
 
+def assessed(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = None, seed: int = 0) -> dict:
+    """The row of pacing, the 95 % interval of the backlog's growth a day (growth_low, growth_high), and falling_behind: whether all of it is above 0. Below two days of history nothing
+    is known of a trend: the interval is null, and falling_behind as well."""
+    row = pacing(records, sla_hours, end_t).first().asDict()
+    if row["growth_per_day"] is None:
+        return {**row, "growth_low": None, "growth_high": None, "falling_behind": None}
+    changes, _ = reviewed(records)
+    horizon = records.agg(F.lit(end_t).cast("double").alias("h") if end_t is not None else F.max("t").alias("h"))
+    g = changes.agg(F.min("t").alias("t0"), F.max("t").alias("t1")).crossJoin(horizon)  # one row each
+    g = g.withColumn("n", F.greatest(F.lit(20), F.least(F.lit(200), F.floor((F.col("h") - F.col("t0")) / 43200))).cast("int"))
+    points = _backlog(changes, g).orderBy("i").collect()  # at most 200
+    low, high = (x / points[0]["step"] for x in slope_interval([float(r["b"]) for r in points], seed))
+    return {**row, "growth_low": low, "growth_high": high, "falling_behind": low > 0}
+
+
 def slope_interval(backlog: list[float], seed: int = 0, rounds: int = 300) -> tuple[float, float]:
     """95 % interval of a short series' slope per step, by a moving-block bootstrap; infinite below 8 points."""
     y = np.asarray(backlog, dtype=float)
