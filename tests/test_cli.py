@@ -35,11 +35,34 @@ def events(n_days, rng):
 def test_gate_and_ledger(spark, tmp_path):
     p = lines(tmp_path / "e.jsonl", events(14, np.random.default_rng(1)))
     ledger = str(tmp_path / "ledger.jsonl")
-    assert cli.main(["gate", p, "--out", str(tmp_path / "g"), "--ledger", ledger, "--step", "one"]) in (1, 3)
+    policy = str(tmp_path / "next.json")
+    assert cli.main(["gate", p, "--out", str(tmp_path / "g"), "--ledger", ledger, "--step", "one", "--quick", "--bases", "4", "--budget", "20", "--save-policy", policy]) in (1, 3)
     assert cli.main(["gate-verify", ledger]) == 0
     row = json.loads((tmp_path / "ledger.jsonl").read_text())
     assert cli.main(["gate-verify", lines(tmp_path / "bad.jsonl", [{**row, "decision": "GO"}])]) == 1
     assert json.loads((tmp_path / "g" / "gate.json").read_text())["decision"] != "GO"
+    told = {c["id"]: c for c in json.loads((tmp_path / "g" / "gate.json").read_text())["criteria"]}
+    assert {"sensitivity:burst", "false_alarm", "redundancy"} <= set(told) and told["interface"]["status"] == "UNKNOWN"
+    assert "not_gated" in json.loads((tmp_path / "next.json").read_text()) and "Decision: **" in (tmp_path / "g" / "gate.md").read_text()
+
+
+def test_a_blind_monitor_is_told(spark, tmp_path):
+    p = lines(tmp_path / "e.jsonl", events(14, np.random.default_rng(2)))
+    (tmp_path / "mon.py").write_text("from collections import Counter\n\n\ndef busy(events):\n    return float(max(Counter(int(e['t'] // 10) for e in events).values()))\n\n\ndef blind(events):\n    return False\n")
+    args = [p, "--monitor", f"{tmp_path}/mon.py:busy", "--monitor", f"{tmp_path}/mon.py:blind", "--quick", "--bases", "4"]
+    assert cli.main(["audit-monitor", *args, "--out", str(tmp_path / "m")]) == 0
+    got = json.loads((tmp_path / "m" / "monitors.json").read_text())
+    caught = {(r["monitor"].split(":")[-1], r["family"]): r["caught"] for r in got["sensitivity"]}
+    assert caught["busy", "burst"] > 0 and all(n == 0 for (m, _), n in caught.items() if m == "blind")
+    assert "Caught nothing: " in (tmp_path / "m" / "monitors.md").read_text()
+
+
+def test_curves_and_replay(spark, tmp_path):
+    p = lines(tmp_path / "e.jsonl", events(10, np.random.default_rng(3)))
+    assert cli.main(["curves", p, "--quick", "--bases", "3", "--out", str(tmp_path / "c")]) == 0
+    assert {r["family"] for r in json.loads((tmp_path / "c" / "curves.json").read_text())["curves"]} >= {"burst", "loop", "odd_sequence"}
+    assert cli.main(["replay", "miasma_2026_06", "--quick", "--traces", "10", "--out", str(tmp_path / "r")]) == 0
+    assert json.loads((tmp_path / "r" / "replay.json").read_text())["incidents"][0]["attack"] == "miasma_2026_06"
 
 
 def test_channel_and_transcripts(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchgrid import model
 from watchgrid.functions import scalars
-from watchgrid.operators import accounting, attacks, channel, commons, detection, drift, gate, lenses, profile, rewrites, stack, texts, weights
+from watchgrid.operators import accounting, attacks, channel, commons, detection, drift, external, gate, lenses, profile, rewrites, stack, texts, weights
 from watchgrid.sources import files
 
 
@@ -260,8 +260,13 @@ def test_attacks_and_baselines(spark):
     base = attacks.synthetic(spark, 12, hours=2.0)
     sc = stack.scores(lenses.series(base, model.DEFAULT_PROFILE, ("burst", "sweep", "books")), base, ("burst", "sweep", "books"))
     assert sc.count() == 3 * base.select("trace_id").distinct().count()
-    strong = attacks.evade(lambda settings: [s["k"] > 3 for s in settings], {"k": 0.25, "spread": 1.0, "split": 1, "camo": 0.0}, rounds=20)
-    assert 0.25 <= strong["k_evade"] <= 3 and strong["holds_up"] == 1.0
+    got = attacks.hidden(lambda settings: [s["k"] > (3 if s["family"] == "burst" else 0) for s in settings], ("burst", "loop"), budget=120)
+    assert 2.5 <= got["burst"]["k_evade"] <= 3 and got["burst"]["holds_up"] == 1.0 and got["loop"]["k_evade"] is None and all(g["queries"] <= 120 for g in got.values())
+    slow = attacks.hidden(lambda settings: [s["k"] / s["spread"] > 1 for s in settings], ("burst",), budget=400)["burst"]
+    assert slow["k_evade"] > 5 and slow["params"]["spread"] > 5
+    drawn = attacks.random_specs(60, seed=2)
+    assert len(drawn) == 60 and all(attacks.harm_score(x) >= 1 for x in drawn)
+    assert all(attacks.BOUNDS[p][0] <= v <= attacks.BOUNDS[p][1] for x in drawn for _, params in x.prims for p, v in params.items() if p not in attacks.RATIOS)
 
 
 def test_lineage(spark):
@@ -296,3 +301,48 @@ def test_simulated_updates_fall_behind(spark):
 def test_exported_events(spark):
     got = [tuple(r)[2:5] for r in files.exported(trace(spark, [ev(1, model.WRITE, 1), ev(2, model.NET, 9), ev(3, chan=1)])).orderBy("t").collect()]
     assert [(k, t) for _, k, t in got] == [("write", "CLAUDE.md"), ("net", "host-9.example")]
+
+
+def test_policy_from_a_reference_run():
+    c = gate.Criterion
+    found = [c("redundancy", "PASS", 3.0), c("leave_one_out", "PASS", 0.93), c("independence", "PASS", 0.4), c("sensitivity:burst", "PASS", 2.0), c("sensitivity:loop", "FAIL", None), c("adversary:burst", "PASS", 4.0), c("false_alarm", "PASS", 0.05, 0.1, "0.020 to 0.110")]
+    p = gate.baseline_policy(found)
+    assert p["min_redundancy"] == 3 and p["min_leave_one_out_coverage"] == 0.88 and p["max_failure_correlation"] == 0.5
+    assert p["max_k80"] == {"burst": 3.0} and p["max_hidden_k"] == {"burst": 6.0} and p["not_gated"] == ["loop"] and p["max_ensemble_false_alarm"] == 0.12
+
+
+def test_gate_needs_the_trend_of_the_backlog(spark):
+    pace = {"changes_per_day": 1.0, "reviews_per_day": 2.0, "within_sla": 1.0}
+    state = lambda **more: next(c.status for c in gate.criteria(gate.Evidence(pacing={**pace, **more})) if c.id == "interface")
+    assert state(falling_behind=False) == "PASS" and state(falling_behind=True) == "FAIL" and state() == "UNKNOWN" and state(within_sla=0.1) == "FAIL"
+    slow = accounting.assessed(accounting.simulated(spark, 30, 8, 3))
+    fast = accounting.assessed(accounting.simulated(spark, 30, 4, 12))
+    assert slow["falling_behind"] and slow["growth_low"] > 0 and not fast["falling_behind"]
+    assert state(**{k: slow[k] for k in ("changes_per_day", "reviews_per_day", "within_sla", "falling_behind")}) == "FAIL"
+
+
+def test_monitors_under_attack(spark):
+    """One monitor sees control-file writes and bytes, one is blind: the blind one catches nothing, and the gate says NO-GO."""
+    from watchgrid import plugins
+
+    chunks = attacks.synthetic(spark, 40, hours=2.0)
+    a = external.audit(chunks, {"writes": plugins.sensitive_writes, "blind": lambda t: t.select("trace_id").distinct().withColumn("score", F.lit(0.0))}, model.DEFAULT_PROFILE, bases=8, strengths=(1.0, 8.0), reps=2)
+    got = {(r["monitor"], r["family"]): r for r in external.sensitivity(a).collect()}
+    assert got["writes", "exfil_fast"]["k80"] is not None and all(got["blind", f]["caught"] == 0 for f in attacks.FAMILIES)
+    assert external.overlap(a)["without_one"] == {"writes": 0.0}
+    found = gate.criteria(gate.Evidence(detections=a.detections, items=a.items, clean=a.clean))
+    assert gate.decide(found) == "NO-GO" and next(c.status for c in found if c.id == "redundancy") == "FAIL"
+
+
+def test_someone_who_knows_the_scores(spark):
+    """The search for a disguise finds a harmful variant of a loud attack that no detector notices, within its budget."""
+    names = ("burst", "netvol")
+    base = attacks.synthetic(spark, 40, hours=2.0)
+    s = stack.scores(lenses.series(base, model.DEFAULT_PROFILE, names), base, names)
+    th = stack.calibrate(s.where("trace_id < 30"), len(names))
+    spec = attacks.Spec("slow", [("drip", {"n": 40, "size": 3000.0, "dur": 1500.0})], t0=1200.0)
+    got = attacks.disguised(base.where("trace_id >= 30"), model.DEFAULT_PROFILE, names, th, spec, budget=24, batch=12)
+    assert len(got["history"]) == 24 and (got["spec"] is None) == (got["undetected_harm"] == 0.0)
+    assert all(attacks.BOUNDS[p][0] <= v <= attacks.BOUNDS[p][1] for _, params in (got["spec"] or spec).prims for p, v in params.items())
+    found = attacks.fuzz_coverage(attacks.fuzz(base.where("trace_id >= 30"), model.DEFAULT_PROFILE, names, th, 10)).first()
+    assert found["n"] == 10 and 0 <= found["low"] <= found["coverage"] <= found["high"] <= 1
