@@ -26,7 +26,7 @@ def resolved(messages: DataFrame, actions: DataFrame) -> DataFrame:
     """messages with `agent`: the receiver among the acting agents, null (anyone) for broadcasts and unknown names."""
     agents = actions.select(F.col("agent").alias("_a")).distinct()
     named = F.when(~F.col("receiver").isin(*ANYONE), F.col("receiver"))
-    return messages.join(F.broadcast(agents), named == F.col("_a"), "left").withColumnRenamed("_a", "agent")  # agents are few
+    return messages.join(agents, named == F.col("_a"), "left").withColumnRenamed("_a", "agent")
 
 
 def tokens_of(messages: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _information(n11: Column, n1: Column, n2: Column, n: int) -> Column:
 def mutual_information(seen: DataFrame, windows: int, least: int = 20) -> DataFrame:
     """(a, b, mi): information that two agents' windows share, over labels, for agents with `least` marks."""
     busy = seen.groupBy("agent").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("agent")
-    s = seen.join(F.broadcast(busy), "agent")
+    s = seen.join(busy, "agent")
     ones = s.groupBy("agent", "label").agg(F.count("*").alias("n"))
     both = s.alias("x").join(s.alias("y"), ["label", "w"]).where("x.agent < y.agent").groupBy(F.col("x.agent").alias("a"), F.col("y.agent").alias("b"), "label").agg(F.count("*").alias("n11"))
     pairs = ones.select(F.col("agent").alias("a"), "label", F.col("n").alias("n1")).join(ones.select(F.col("agent").alias("b"), "label", F.col("n").alias("n2")), "label").where("a < b")
@@ -180,7 +180,7 @@ def levels(actions: DataFrame, width: float, around: int = 10) -> DataFrame:
     w = Window.partitionBy("agent").orderBy("w").rowsBetween(-around, around)
     g = g.withColumn("slow", (F.sum("c").over(w) - F.col("c")) / F.greatest(F.count("*").over(w) - 1, F.lit(1)))
     cuts = g.groupBy("agent").agg(F.percentile("slow", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    g = g.join(F.broadcast(cuts), "agent")  # a row per agent
+    g = g.join(cuts, "agent")
     return g.select("agent", "w", ((F.col("slow") >= F.col("q")[0]).cast("int") + (F.col("slow") >= F.col("q")[1]).cast("int")).alias("level"))
 
 

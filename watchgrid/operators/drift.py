@@ -21,8 +21,7 @@ def transfer(scores: DataFrame, groups: DataFrame, n_lenses: int, far: float = 0
     ids = groups.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("trace_id"))).withColumn("n", F.count("*").over(Window.partitionBy("grp")))
     part = ids.select("trace_id", (F.col("r") <= F.floor(F.col("n") * share)).alias("cal"))
     s = s.join(part, "trace_id")
-    g = s.where("cal").groupBy("grp", "lens").agg(F.collect_list("score").alias("v"))
-    tau = g.select(F.col("grp").alias("a"), "lens", scalars.quantile_higher(F.col("v"), 1 - far / n_lenses).alias("tau"))  # a row per group and lens
+    tau = stack.ranked(s.where("cal"), ["grp", "lens"], far / n_lenses).select(F.col("grp").alias("a"), "lens", "tau")  # a row per group and lens
     hit = s.where("NOT cal").select(F.col("grp").alias("b"), "trace_id", "lens", "score").join(F.broadcast(tau), "lens")
     per = hit.groupBy("a", "b", "trace_id").agg(F.max((F.col("score") > F.col("tau")).cast("long")).alias("alarm"))
     out = per.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("alarm").alias("alarms"))
@@ -40,7 +39,7 @@ def time_blocks(traces: DataFrame, shuffled: bool = False, seed: int = 0) -> Dat
 
 def time_drift(scores: DataFrame, n_lenses: int, far: float = 0.05, shuffled: bool = False, seed: int = 0) -> DataFrame:
     """(block, n, alarms, rate): thresholds from block 0, alarms on the later ones."""
-    s = scores.join(F.broadcast(time_blocks(scores, shuffled, seed)), "trace_id")
+    s = scores.join(time_blocks(scores, shuffled, seed), "trace_id")
     tau = stack.calibrate(s.where("block = 0"), n_lenses, far).select("lens", "tau")
     per = s.where("block > 0").join(F.broadcast(tau), "lens").groupBy("block", "trace_id").agg(F.max((F.col("score") > F.col("tau")).cast("long")).alias("alarm"))
     return per.groupBy("block").agg(F.count("*").alias("n"), F.sum("alarm").alias("alarms")).withColumn("rate", F.col("alarms") / F.col("n"))
@@ -100,7 +99,7 @@ def clock_diagnostic(scores: DataFrame, lens: str = "clock", far: float = 0.05,
 
 def ablation(scores: DataFrame, names, drop: str, far: float = 0.05) -> DataFrame:
     """(variant, trace_id, detected): alarms of the full stack, and of the stack without one lens, both calibrated on the first part."""
-    parts = F.broadcast(stack.split_chronological(scores))
+    parts = stack.split_chronological(scores)
     out = None
     for variant, kept in (("full", list(names)), (f"without {drop}", [n for n in names if n != drop])):
         s = scores.where(F.col("lens").isin(kept)).join(parts, "trace_id")

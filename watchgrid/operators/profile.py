@@ -17,7 +17,7 @@ def chunked(trace: DataFrame, seg: float = 10_800.0, least: int = 100) -> DataFr
     """Every trace cut into chunks of `seg` seconds from its first reported event, times relative to the chunk; only chunks with `least` reported events. trace_id is the chunk's
     number (of one trace) or a hash of trace and number."""
     start = trace.where("chan = 0").groupBy("trace_id").agg(F.min("t").alias("t0"))
-    df = trace.join(F.broadcast(start), "trace_id").withColumn("chunk", F.floor((F.col("t") - F.col("t0")) / seg).cast("long"))
+    df = trace.join(start, "trace_id").withColumn("chunk", F.floor((F.col("t") - F.col("t0")) / seg).cast("long"))
     df = df.where("chunk >= 0").withColumn("t", F.col("t") - F.col("t0") - F.col("chunk") * seg)
     enough = df.where("chan = 0").groupBy("trace_id", "chunk").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
     df = df.join(enough, ["trace_id", "chunk"], "left_semi")

@@ -49,7 +49,7 @@ def followed(points: DataFrame, events: DataFrame, keys: list[str], t: str, widt
     w = F.lit(float(width)) if not isinstance(width, Column) else width
     e = events.select(*keys, F.col(t).alias("_e"), F.floor(F.col(t) / w).alias("_b")).distinct()
     e = e.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list("_e")).alias("_es"))
-    p = points.withColumn("_id", F.monotonically_increasing_id())
-    q = p.select("_id", *keys, F.col(t).alias("_t"), F.explode(F.array(F.floor(F.col(t) / w), F.floor(F.col(t) / w) + 1)).alias("_b"))
-    hits = q.join(e, [*keys, "_b"]).where(F.exists("_es", lambda x: (x > F.col("_t")) & (x <= F.col("_t") + w))).select("_id").distinct().withColumn(out, F.lit(True))
-    return p.join(hits, "_id", "left").withColumn(out, F.coalesce(out, F.lit(False))).drop("_id")
+    own = [*keys, t] + (["width"] if isinstance(width, Column) else [])  # points of one key, time and width have one answer
+    q = points.select(*own).distinct().withColumn("_b", F.explode(F.array(F.floor(F.col(t) / w), F.floor(F.col(t) / w) + 1)))
+    hits = q.join(e, [*keys, "_b"]).where(F.exists("_es", lambda x: (x > F.col(t)) & (x <= F.col(t) + w))).select(*own).distinct().withColumn(out, F.lit(True))
+    return points.join(hits, own, "left").withColumn(out, F.coalesce(out, F.lit(False)))

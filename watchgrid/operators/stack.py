@@ -17,12 +17,21 @@ def scores(series: DataFrame, traces: DataFrame, names) -> DataFrame:
 
 
 def calibrate(scores_: DataFrame, n_lenses: int, far: float = 0.05) -> DataFrame:
-    """(lens, tau, med, scale): a clean trace exceeds some tau with probability of about far. One row per lens; its traces' scores, a number each, meet in an array."""
-    g = scores_.groupBy("lens").agg(F.collect_list("score").alias("s"), F.percentile("score", 0.5).alias("med"), F.stddev_pop("score").alias("sd"))
-    g = g.withColumn("tau", scalars.quantile_higher(F.col("s"), 1 - far / n_lenses))
+    """(lens, tau, med, scale): a clean trace exceeds some tau with probability of about far. One row per lens."""
+    g = ranked(scores_, ["lens"], far / n_lenses)
     return g.select("lens", "tau", "med", F.greatest(F.col("tau") - F.col("med"), 0.1 * F.col("sd"), F.lit(1e-6)).alias("scale"))
 
 
+def ranked(scores_: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, tau, med, sd): the score that at most `share` of a group's scores exceed (element ceil((1 - share) (n - 1)) in order), their median and deviation. Groups are sorted, not
+    gathered: a sort spills where a group is large."""
+    group = Window.partitionBy(*keys)
+    s = scores_.withColumns({"_r": F.row_number().over(group.orderBy("score")) - 1, "_n": F.count("*").over(group) - 1})
+    at = lambda place: F.max(F.when(F.col("_r") == place, F.col("score")))
+    middle = F.col("_n") / 2
+    return s.groupBy(*keys).agg(at(F.ceil(F.lit(1 - share) * F.col("_n"))).alias("tau"), ((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("med"), F.stddev_pop("score").alias("sd"))
+
+
 def alarms(series: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(trace_id, lens, ts, score) above the threshold."""
     return series.join(F.broadcast(thresholds), "lens").where("score > tau").select("trace_id", "lens", "ts", "score")  # one row per lens

@@ -147,7 +147,7 @@ ORACLE_SQL["lens_scores"] = f"WITH {_scores_sql()} SELECT trace_id, lens, round(
 def _calibrated(spark, sf_dir):
     s = _scores(spark, sf_dir)
     parts = stack.split_chronological(s)
-    return s.join(F.broadcast(parts), "trace_id"), len(PLAIN)
+    return s.join(parts, "trace_id"), len(PLAIN)
 
 
 def stack_calibration(spark, sf_dir):
@@ -171,10 +171,10 @@ ORACLE_SQL["stack_margins"] = f"WITH {_scores_sql()}{_CAL} SELECT sc.trace_id, s
 def _alarms(spark, sf_dir):
     trace = _chunks(spark, sf_dir)
     series = tables.written(lenses.series(trace, PROFILE, PLAIN))
-    s = stack.scores(series, trace, PLAIN).join(F.broadcast(stack.split_chronological(trace)), "trace_id")
+    s = stack.scores(series, trace, PLAIN).join(stack.split_chronological(trace), "trace_id")
     th = stack.calibrate(s.where("part = 'cal'"), len(PLAIN))
     val = s.where("part = 'val'").select("trace_id").distinct()
-    return stack.evaluate(series.join(F.broadcast(val), "trace_id", "left_semi"), val, th, PLAIN)
+    return stack.evaluate(series.join(val, "trace_id", "left_semi"), val, th, PLAIN)
 
 
 def stack_alarms(spark, sf_dir):

@@ -40,7 +40,7 @@ ORACLE_SQL["incident_events"] = f"SELECT attack, CAST(c.chan AS INT) AS chan, CA
 
 def _cal(spark, sf_dir, names):
     trace = behaviour._chunks(spark, sf_dir)
-    s = stack.scores(lenses.series(trace, behaviour.PROFILE, names), trace, names).join(F.broadcast(stack.split_chronological(trace)), "trace_id")
+    s = stack.scores(lenses.series(trace, behaviour.PROFILE, names), trace, names).join(stack.split_chronological(trace), "trace_id")
     return trace, tables.written(s)
 
 
