@@ -118,3 +118,12 @@ def test_parts_of_real_pages(pages):
         for node, _, _ in html.parsed(source)[2]:
             kinds[node] += 1
     assert set(kinds) == set(NODES.values())
+
+
+def test_deeply_nested_hints_are_quick():
+    import time
+
+    page = "<div class='nav'>" * 3000 + "".join(f"<p>word {i}</p>" for i in range(3000))
+    began = time.time()
+    text, tree, _ = html._main_text(page, (frozenset(), frozenset([html._branch(">x!")]), frozenset()))
+    assert text.count("word") == 3000 and tree == 0 and time.time() - began < 10

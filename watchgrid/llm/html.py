@@ -361,7 +361,14 @@ def _main_text(source: str | None, verdicts=_NONE) -> tuple[str, int, int]:
     """The main text of a page, how many blocks the tree's verdicts on repeated texts and low branches remove, and how many go besides."""
     (found, _, _), (repeated, low, important) = parsed(source), verdicts
     of = {x: bool(repeated) and _hash(f"{x[0]}\0{x[1]}") in repeated for x in {f[:2] for f in found}}
-    branches = {h.node: _branch(h.node) for *_, scope, _ in found for h in _chain(scope)} if low or important else {}
+    scopes: dict[int, _Scope] = {}
+    for *_, scope, _ in found if low or important else ():
+        while scope and scope.nth not in scopes:
+            scopes[scope.nth], scope = scope, scope.above
+    branches, inside = {h.node: _branch(h.node) for h in scopes.values()}, {}
+    for nth in sorted(scopes):  # outer ones first
+        h = scopes[nth]
+        inside[nth] = branches[h.node] in low or bool(h.above and inside[h.above.nth])
     kept = _candidates(found, [of[f[:2]] for f in found], {node for node, x in branches.items() if x in important})
     kept = [x for x in kept if not of[x]] or kept
     left = defaultdict(int)
@@ -372,7 +379,7 @@ def _main_text(source: str | None, verdicts=_NONE) -> tuple[str, int, int]:
         if left[path, text]:
             left[path, text] -= 1
         else:
-            tree += of[path, text] or any(branches.get(h.node) in low for h in _chain(hint))
+            tree += of[path, text] or bool(hint and inside.get(hint.nth))
     return "\n\n".join(t for _, t in kept), tree, len(found) - len(kept) - tree
 
 
