@@ -33,6 +33,12 @@ def message_tokens(spark, sf_dir):
 
 
 QUERIES["message_tokens"] = message_tokens
+_MASKED = "text"
+for _p, _m in scalars.MASKS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_p.replace('(?U)', '').replace(chr(92) + 'w', chr(92) + 'p{L}' + chr(92) + 'p{N}_')}', ' {_m} ', 'g')"
+_TOKENS = f"""tk AS (SELECT msg_id, unnest(string_split_regex({_MASKED}, '\\s+')) AS w FROM msg),
+tok AS (SELECT DISTINCT msg_id, CASE WHEN starts_with(w, '<') AND ends_with(w, '>') THEN w ELSE lower(trim(w, '{scalars.STRIPPED.replace("'", "''")}')) END AS token FROM tk)"""
+ORACLE_SQL["message_tokens"] = f"WITH {MSG}, {_TOKENS} SELECT msg_id, token FROM tok WHERE token <> ''"
 
 
 def message_profile(spark, sf_dir):
@@ -40,6 +46,10 @@ def message_profile(spark, sf_dir):
 
 
 QUERIES["message_profile"] = message_profile
+ORACLE_SQL["message_profile"] = f"""WITH {MSG}, {_TOKENS.replace("SELECT DISTINCT msg_id, CASE", "SELECT msg_id, CASE")}, c AS (SELECT token, count(*) AS n FROM tok WHERE token <> '' GROUP BY token),
+z AS (SELECT n, row_number() OVER (ORDER BY n DESC, token) AS rank FROM c QUALIFY rank <= 200), h AS (SELECT count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM msg) WHERE ch <> '' GROUP BY ch)
+SELECT (SELECT count(*) FROM msg) AS messages, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS vocabulary, round(count(*) / sum(n), 6) AS type_token_ratio, (SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) FROM h) AS char_entropy,
+  (SELECT round(regr_slope(ln(n), ln(rank)), 6) FROM z) AS zipf_slope FROM c"""
 
 
 def char_entropy(spark, sf_dir):

@@ -6,6 +6,7 @@ from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
+from watchgrid import model
 from watchgrid.operators import accounting, attacks, drift, lenses, profile, stack, weights
 from watchgrid.plans import accounts, behaviour
 from watchgrid.plans.behaviour import _round
@@ -23,6 +24,12 @@ def library_events(spark, sf_dir):
 
 
 QUERIES["library_events"] = library_events
+_STEPS = ", ".join(
+    f"('{n}', {prim}, '{shape}', {count}, '{kind}', {model.WRITE if kind == 'ctrl' else model.KINDS.index(kind)})" for n, p in attacks.LIBRARY.items() for prim, shape, count, kind, *_ in attacks._steps(attacks.Spec(n, p, t0=1000.0))
+)
+ORACLE_SQL["library_events"] = f"""WITH e AS (SELECT *, unnest(range(m)) AS i FROM (VALUES {_STEPS}) x(attack, prim, shape, m, name, kind)),
+k AS (SELECT attack, CAST(shape = 'unlogged' AS INT) AS chan, CASE WHEN shape = 'unlogged' AND ('0x' || substr(md5(concat_ws(':', attack, 0, prim, name, i, 'k')), 1, 8))::UBIGINT / 4294967296.0 < 0.5 THEN {model.NET} ELSE kind END AS kind FROM e)
+SELECT attack, kind, chan, count(*) AS n FROM (SELECT * FROM k UNION ALL SELECT attack, 1, kind FROM k WHERE chan = 0) GROUP BY attack, kind, chan"""
 
 
 def incident_events(spark, sf_dir):
