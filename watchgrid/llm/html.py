@@ -344,9 +344,9 @@ def _tree(rows: DataFrame) -> DataFrame:
 def _verdicts(rows: DataFrame) -> DataFrame:
     """(host, repeated, low, important): hashes of the texts to remove, and of the branches on either side of BRANCH, of hosts with any."""
     found = common.written(rows)  # pages are parsed once for it
-    tree = _tree(found).where("pages > 1")
+    tree = common.written(_tree(found).where("pages > 1"))
     smooth = (F.col("pages") * F.col("importance") + F.when(F.col("branch"), 0).otherwise(PRIOR)) / (F.col("pages") + PRIOR)
-    low = tree.where(~F.col("branch") & (smooth < THRESHOLD)).select("host", "node", "branch", "pages")
+    low = common.small(tree.where(~F.col("branch") & (smooth < THRESHOLD)).select("host", "node", "branch", "pages"))  # broadcast, the texts of a frequent node stay spread
     many = (F.col("p") > 1) & (F.log("p") >= THRESHOLD * F.log("pages"))
     repeated = _texts(found).join(low, ["host", "node", "branch"]).where(many).select("host", F.col("text").alias("repeated"))
     branches = tree.where("branch").select("host", F.when(smooth < BRANCH, F.col("node")).alias("low"), F.when(smooth >= BRANCH, F.col("node")).alias("important"))
