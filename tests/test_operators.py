@@ -85,6 +85,15 @@ def test_unmatched_against_brute_force(spark):
     assert got == sorted((k, t, c) for k, t, c in rows if not any(k2 == k and c2 != c and abs(t2 - t) <= 2.0 for k2, t2, c2 in rows))
 
 
+def test_unmatched_has_only_running_frames(spark):
+    """A frame from a row to the end of its group is evaluated anew for every row: quadratic where a group is dense."""
+    df = spark.range(6000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 60).cast("double").alias("t"), (F.floor(F.col("id") / 2) % 2).cast("int").alias("c"))
+    df = df.unionByName(spark.createDataFrame([(0, 500.0, 1), (0, None, 0)], "k long, t double, c int"))
+    out = rewrites.unmatched(df, ["k"], "t", "c", 2.0)
+    assert sorted((r["k"], r["t"] or 0.0, r["c"]) for r in out.collect()) == [(0, 0.0, 0), (0, 500.0, 1)]
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().toString()
+
+
 def test_followed_against_brute_force(spark):
     rng = np.random.default_rng(2)
     p = [(int(k), float(t)) for k, t in zip(rng.integers(0, 2, 80), rng.uniform(0, 100, 80), strict=True)]
