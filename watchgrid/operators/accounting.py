@@ -84,11 +84,11 @@ def reviewed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changes.join(reviews, ["artifact", "new", "j"], "left"), r.where("lost").select("artifact", "t", "new")
 
 
-def reconcile(records: DataFrame, sla_hours: float = 24.0, tol: float = 60.0, end_t: float | None = None) -> DataFrame:
-    """Findings: (kind, artifact, t, state)."""
+def reconcile(records: DataFrame, sla_hours: float = 24.0, tol: float = 60.0, end_t: float | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """Findings: (kind, artifact, t, state). changes: the first result of reviewed, where it is a table already."""
     s = tables.written(states(records, tol))  # read for its findings and its final states
-    changes, unknown = reviewed(records)
-    changes = tables.written(changes)
+    matched, unknown = reviewed(records)
+    changes = tables.written(matched) if changes is None else changes
     own = s.where("finding IS NOT NULL").select(F.col("finding").alias("kind"), "artifact", "t", F.coalesce("new", "known").alias("state"))
     lost = unknown.select(F.lit("UNKNOWN_REVIEW").alias("kind"), "artifact", "t", F.col("new").alias("state"))
     final = s.groupBy("artifact").agg(F.max_by("known", F.struct(*_ORDER)).alias("final"))
@@ -110,9 +110,9 @@ def _backlog(changes: DataFrame, g: DataFrame) -> DataFrame:
     return grid.join(F.broadcast(cell), "i", "left").withColumn("b", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def pacing(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = None) -> DataFrame:
-    """One row: rates a day, backlog now and at its peak on a grid, its slope a day, lags of reviews. Rates and the slope are null below two days of history."""
-    changes, _ = reviewed(records)
+def pacing(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """One row: rates a day, backlog now and at its peak on a grid, its slope a day, lags of reviews. Rates and the slope are null below two days of history. changes: as for reconcile."""
+    changes = tables.written(reviewed(records)[0]) if changes is None else changes  # read for the rates and for the grid
     horizon = records.agg(F.lit(end_t).cast("double").alias("h") if end_t is not None else F.max("t").alias("h"))
     lag = F.col("review_t") - F.col("t")
     g = changes.agg(
@@ -131,13 +131,13 @@ def pacing(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = No
     )
 
 
-def assessed(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = None, seed: int = 0) -> dict:
+def assessed(records: DataFrame, sla_hours: float = 24.0, end_t: float | None = None, seed: int = 0, changes: DataFrame | None = None) -> dict:
     """The row of pacing, the 95 % interval of the backlog's growth a day (growth_low, growth_high), and falling_behind: whether all of it is above 0. Below two days of history nothing
-    is known of a trend: the interval is null, and falling_behind as well."""
-    row = pacing(records, sla_hours, end_t).first().asDict()
+    is known of a trend: the interval is null, and falling_behind as well. changes: as for reconcile."""
+    changes = tables.written(reviewed(records)[0]) if changes is None else changes
+    row = pacing(records, sla_hours, end_t, changes).first().asDict()
     if row["growth_per_day"] is None:
         return {**row, "growth_low": None, "growth_high": None, "falling_behind": None}
-    changes, _ = reviewed(records)
     horizon = records.agg(F.lit(end_t).cast("double").alias("h") if end_t is not None else F.max("t").alias("h"))
     g = changes.agg(F.min("t").alias("t0"), F.max("t").alias("t1")).crossJoin(horizon)  # one row each
     g = g.withColumn("n", F.greatest(F.lit(20), F.least(F.lit(200), F.floor((F.col("h") - F.col("t0")) / 43200))).cast("int"))

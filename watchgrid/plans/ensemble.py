@@ -12,9 +12,9 @@ from watchgrid.sources import tables, views
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def _table(spark, sf_dir):
+def _table(spark, sf_dir, scores=None):
     """Which detectors score a chunk above their median: a rich detection table."""
-    s, n = behaviour._calibrated(spark, sf_dir)
+    s, n = behaviour._calibrated(spark, sf_dir, scores)
     th = stack.calibrate(s.where("part = 'cal'"), n)
     return tables.written(s.join(F.broadcast(th), "lens").select(F.col("trace_id").alias("item"), F.col("lens").alias("monitor"), (F.col("score") > F.col("med")).cast("int").alias("detected")))
 
@@ -146,13 +146,15 @@ SELECT a AS monitor, min(c) AS representative FROM rc GROUP BY a"""
 
 def gate_decision(spark, sf_dir):
     """The gate's criteria over the detection table, the later chunks' alarms and the accounts."""
-    table = _table(spark, sf_dir)
-    late = tables.written(behaviour._alarms(spark, sf_dir))
+    trace, series = behaviour._series(spark, sf_dir)  # scores and alarms are both of these
+    table = _table(spark, sf_dir, tables.written(stack.scores(series, trace, behaviour.PLAIN)))
+    late = tables.written(behaviour._alarms(spark, sf_dir, (trace, series)))
     names = F.array(*[F.lit(n) for n in behaviour.PLAIN])
     clean = late.select(F.col("trace_id").alias("item"), F.explode(names).alias("monitor"), "fired").select("item", "monitor", F.array_contains("fired", F.col("monitor")).cast("int").alias("detected"))
     records = tables.written(views.updates(spark, sf_dir))
-    pace = accounting.assessed(records)
-    found = gate.criteria(gate.Evidence(detections=table, clean=clean, findings=tables.written(accounting.reconcile(records)), pacing=pace))
+    changes = tables.written(accounting.reviewed(records)[0])
+    pace = accounting.assessed(records, changes=changes)
+    found = gate.criteria(gate.Evidence(detections=table, clean=clean, findings=tables.written(accounting.reconcile(records, changes=changes)), pacing=pace))
     return gate.as_table(spark, [*found, gate.Criterion("decision", gate.decide(found))])
 
 
