@@ -1,5 +1,6 @@
-"""What keeps queries on dense traces linear: running frames only, and no step twice."""
+"""What large and dense tables show: frames that run, no step twice, windows that are all full."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,3 +31,17 @@ def test_given_changes_give_the_same_accounts(spark):
     changes = tables.written(accounting.reviewed(records)[0])
     assert accounting.assessed(records, changes=changes) == pytest.approx(accounting.assessed(records))
     assert accounting.reconcile(records, changes=changes).exceptAll(accounting.reconcile(records)).isEmpty()
+
+
+def test_agent_information_where_windows_are_full(spark, tmp_path):
+    """Agents 0 and 1 view in every window: no label tells them apart. Agent 3 has few marks."""
+    marks = [(w, a) for w in range(40) for a in (0, 1)] + [(w, 2) for w in range(0, 40, 2)] + [(w, 3) for w in (0, 1, 4, 9)]
+    rows = [(i, w * 600.0, a, "view", 1.0, "{}") for i, (w, a) in enumerate(marks)] + [(1000 + w, w * 600.0 + 1, 3, "click", 1.0, "{}") for w in (2, 3)] + [(1100, 1202.0, 1, "click", 1.0, "{}")]
+    df = spark.createDataFrame(rows, "event_id long, s double, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'; CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    theirs = sorted(con.execute(catalog.ORACLE_SQL["agent_information"]).fetchall())
+    mine = sorted(map(tuple, catalog.QUERIES["agent_information"](spark, str(tmp_path)).collect()))
+    assert [r[:2] for r in mine] == [r[:2] for r in theirs] == [("1", "3"), ("2", "3")]
+    assert [r[2] for r in mine] == pytest.approx([r[2] for r in theirs], abs=1e-8)

@@ -159,14 +159,16 @@ def _information(n11: Column, n1: Column, n2: Column, n: int) -> Column:
 
 
 def mutual_information(seen: DataFrame, windows: int, least: int = 20) -> DataFrame:
-    """(a, b, mi): information that two agents' windows share, over labels, for agents with `least` marks."""
+    """(a, b, mi, labels): information that two agents' windows share, over labels, for agents with `least` marks; labels counts those that neither shows in all windows. Where there
+    are none, nothing can be shared or not: mi is 0."""
     busy = seen.groupBy("agent").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("agent")
     s = seen.join(busy, "agent")
     ones = s.groupBy("agent", "label").agg(F.count("*").alias("n"))
     both = s.alias("x").join(s.alias("y"), ["label", "w"]).where("x.agent < y.agent").groupBy(F.col("x.agent").alias("a"), F.col("y.agent").alias("b"), "label").agg(F.count("*").alias("n11"))
     pairs = ones.select(F.col("agent").alias("a"), "label", F.col("n").alias("n1")).join(ones.select(F.col("agent").alias("b"), "label", F.col("n").alias("n2")), "label").where("a < b")
     g = pairs.join(both, ["a", "b", "label"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)))
-    return g.groupBy("a", "b").agg(F.sum(_information(F.col("n11"), F.col("n1"), F.col("n2"), windows)).alias("mi"))
+    vary = (F.col("n1") < windows) & (F.col("n2") < windows)
+    return g.groupBy("a", "b").agg(F.sum(_information(F.col("n11"), F.col("n1"), F.col("n2"), windows)).alias("mi"), F.sum(vary.cast("long")).alias("labels"))
 
 
 def levels(actions: DataFrame, width: float, around: int = 10) -> DataFrame:
