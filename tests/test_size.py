@@ -10,6 +10,22 @@ from watchgrid.sources import tables, views
 
 SF = "/root/testdata/sf0.01"
 
+#: Queries whose plans may hold no frame from a row to the end of its group.
+DENSE = (
+    "lens_books",
+)
+
+
+@pytest.mark.parametrize("name", DENSE)
+def test_frames_run(spark, monkeypatch, name):
+    """A frame from a row to the end of its group is evaluated anew for every row: such a query does not end on dense traces."""
+    plans, real = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df: (plans.append(df), real(df))[1])
+    plans.append(catalog.QUERIES[name](spark, SF))
+    text = "".join(df._jdf.queryExecution().analyzed().toString() for df in plans)
+    assert "unboundedpreceding$(), currentrow$()" in text
+    assert "currentrow$(), unboundedfollowing$()" not in text
+
 
 def test_gate_takes_each_step_once(spark, monkeypatch):
     calls = []
