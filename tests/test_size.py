@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.01"
 #: Queries whose plans may hold no frame from a row to the end of its group.
 DENSE = (
     "lens_books",
+    "ablation",
 )
 
 
