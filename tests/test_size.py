@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.01"
 DENSE = (
     "lens_books",
     "ablation",
+    "detection_curves",
 )
 
 
