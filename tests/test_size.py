@@ -15,6 +15,7 @@ DENSE = (
     "lens_books",
     "ablation",
     "detection_curves",
+    "detection_matrix",
 )
 
 
