@@ -16,6 +16,7 @@ DENSE = (
     "ablation",
     "detection_curves",
     "detection_matrix",
+    "coverage_plateau",
 )
 
 
