@@ -17,6 +17,7 @@ DENSE = (
     "detection_curves",
     "detection_matrix",
     "coverage_plateau",
+    "failure_correlation",
 )
 
 
