@@ -18,6 +18,7 @@ DENSE = (
     "detection_matrix",
     "coverage_plateau",
     "failure_correlation",
+    "false_alarm_rate",
 )
 
 
