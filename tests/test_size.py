@@ -19,6 +19,7 @@ DENSE = (
     "coverage_plateau",
     "failure_correlation",
     "false_alarm_rate",
+    "ensemble_caught",
 )
 
 
