@@ -20,6 +20,7 @@ DENSE = (
     "failure_correlation",
     "false_alarm_rate",
     "ensemble_caught",
+    "full_stack_alarms",
 )
 
 
