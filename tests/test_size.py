@@ -21,6 +21,7 @@ DENSE = (
     "false_alarm_rate",
     "ensemble_caught",
     "full_stack_alarms",
+    "leave_one_out",
 )
 
 
