@@ -22,6 +22,7 @@ DENSE = (
     "ensemble_caught",
     "full_stack_alarms",
     "leave_one_out",
+    "monitor_correlations",
 )
 
 
