@@ -23,6 +23,7 @@ DENSE = (
     "full_stack_alarms",
     "leave_one_out",
     "monitor_correlations",
+    "obstruction_rate",
 )
 
 
