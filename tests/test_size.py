@@ -24,6 +24,7 @@ DENSE = (
     "leave_one_out",
     "monitor_correlations",
     "obstruction_rate",
+    "redundancy",
 )
 
 
