@@ -25,6 +25,7 @@ DENSE = (
     "monitor_correlations",
     "obstruction_rate",
     "redundancy",
+    "monitor_rates",
 )
 
 
