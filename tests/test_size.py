@@ -26,6 +26,7 @@ DENSE = (
     "obstruction_rate",
     "redundancy",
     "monitor_rates",
+    "near_copies",
 )
 
 
