@@ -27,6 +27,7 @@ DENSE = (
     "redundancy",
     "monitor_rates",
     "near_copies",
+    "stack_calibration",
 )
 
 
