@@ -28,6 +28,7 @@ DENSE = (
     "monitor_rates",
     "near_copies",
     "stack_calibration",
+    "stack_margins",
 )
 
 
