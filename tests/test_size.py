@@ -29,6 +29,7 @@ DENSE = (
     "near_copies",
     "stack_calibration",
     "stack_margins",
+    "stack_alarms",
 )
 
 
