@@ -30,6 +30,7 @@ DENSE = (
     "stack_calibration",
     "stack_margins",
     "stack_alarms",
+    "strengths_caught",
 )
 
 
