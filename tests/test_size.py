@@ -31,6 +31,7 @@ DENSE = (
     "stack_margins",
     "stack_alarms",
     "strengths_caught",
+    "time_drift",
 )
 
 
