@@ -1,10 +1,12 @@
 """What large and dense tables show: frames that run, no step twice, windows that are all full."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchgrid.operators import accounting, gate, lenses
+from watchgrid import model
+from watchgrid.operators import accounting, gate, lenses, profile, rewrites
 from watchgrid.plans import catalog
 from watchgrid.sources import tables, views
 
@@ -80,3 +82,62 @@ def test_agent_information_where_windows_are_full(spark, tmp_path):
     mine = sorted(map(tuple, catalog.QUERIES["agent_information"](spark, str(tmp_path)).collect()))
     assert [r[:2] for r in mine] == [r[:2] for r in theirs] == [("1", "3"), ("2", "3")]
     assert [r[2] for r in mine] == pytest.approx([r[2] for r in theirs], abs=1e-8)
+
+
+def dense(spark):
+    """A trace of an event in every quarter of a second, twinned a little later but for each thousandth, on absolute time."""
+    ev = spark.range(40_000).select(F.lit(0).cast("long").alias("trace_id"), F.col("id").alias("seq"), (1e9 + F.col("id") / 4).alias("t"), F.lit(0).alias("agent"), (F.col("id") % 6).cast("int").alias("kind"))
+    ev = ev.select("*", (F.col("seq") % 9).cast("int").alias("target"), F.lit(1.0).alias("size"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("chan"))
+    twin = ev.where("seq % 1000 <> 7").withColumns({"t": F.col("t") + 0.25, "chan": F.lit(1)})
+    return ev.unionByName(twin)
+
+
+def test_dense_buckets_leave_few_rows_to_the_windows(spark, monkeypatch):
+    """Rows that a twin surely meets don't get into the sorted windows."""
+    left, real = [], tables.small
+    monkeypatch.setattr(tables, "small", lambda df: (left.append(real(df)), left[-1])[1])
+    ev = dense(spark).withColumn("t", F.when(F.col("seq") == 20_000, F.col("t") + 1e6).otherwise(F.col("t")))
+    got = rewrites.unmatched(ev.where("seq <> 20000 OR chan = 0"), ["trace_id", "kind"], "t", "chan", 2.0).select("seq").collect()
+    assert [r["seq"] for r in got] == [20_000]
+    assert len(left) == 1 and left[0].count() == 1
+
+
+def test_unmatched_on_odd_rows(spark):
+    """Any tolerance, keys, sides and times that are null or huge."""
+    rng = np.random.default_rng(5)
+    rows = [(None if k == 2 else int(k), float(t) - 20, int(c), i) for i, (k, t, c) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 2000, 200) / 8, rng.integers(0, 2, 200), strict=True))]
+    rows += [(0, None, 0, 1000), (0, 1e300, 0, 1001), (0, 3.0, None, 1002), (1, -0.0, 0, 1003), (1, 1e17, 1, 1004)]
+    known = lambda *x: None not in x
+    for tol in (2.0, 1.5, 0.3, 0.0):
+        got = sorted(r["i"] for r in rewrites.unmatched(spark.createDataFrame(rows, "k int, t double, c int, i int"), ["k"], "t", "c", tol).collect())
+        assert got == sorted(i for k, t, c, i in rows if not any(k2 == k and known(c, c2, t, t2) and c2 != c and abs(t2 - t) <= tol for k2, t2, c2, _ in rows))
+
+
+def test_chunks_are_cut_without_a_shuffle(spark):
+    """A join by trace would bring a long trace into one task."""
+    out = profile.chunked(dense(spark), 1000.0, 100)
+    assert out.select("trace_id").distinct().count() == 10
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_tokens_of_the_template_are_sorted(spark):
+    df = dense(spark).where("chan = 0")
+    out = rewrites.chain_ends(df, ["trace_id"], ["t", "seq"], F.col("kind"), [3, 0, 5], "t")
+    kinds = [(r["t"], r["kind"]) for r in df.orderBy("t").limit(60).collect()]
+    want = []
+    for i, (t, k) in enumerate(kinds):
+        if k == 3 and (a := next((j for j in range(i + 1, 60) if kinds[j][1] == 0), None)) and (b := next((x for x, k2 in kinds[a + 1 :] if k2 == 5), None)):
+            want.append((t, b))
+    assert sorted(map(tuple, out.where(F.col("end") <= kinds[-1][0]).select("t", "end").collect())) == want
+    below = out._jdf.queryExecution().optimizedPlan().toString().rsplit("Window [", 1)[1]
+    assert "IN (" in below and "Filter" in below
+
+
+def test_rhythm_and_surprisal_share_a_sort(spark):
+    trace = profile.chunked(dense(spark), 1000.0, 100)
+    both = lenses.series(trace, model.DEFAULT_PROFILE, ("rhythm", "burst", "surprisal"))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    for n in ("rhythm", "surprisal"):
+        own, shared = lenses.LENSES[n](trace, model.DEFAULT_PROFILE), both.where(F.col("lens") == n)
+        plain = lambda df: sorted(map(tuple, df.select("trace_id", "ts", F.round("score", 9)).collect()))
+        assert plain(shared) == plain(own) and own.count() == 40
