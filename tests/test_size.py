@@ -1,13 +1,15 @@
 """What large and dense tables show: frames that run, no step twice, windows that are all full."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from watchgrid import model
-from watchgrid.operators import accounting, gate, lenses, profile, rewrites
-from watchgrid.plans import catalog
+from watchgrid.operators import accounting, gate, lenses, profile, rewrites, stack
+from watchgrid.plans import behaviour, catalog
 from watchgrid.sources import tables, views
 
 SF = "/root/testdata/sf0.01"
@@ -141,3 +143,39 @@ def test_rhythm_and_surprisal_share_a_sort(spark):
         own, shared = lenses.LENSES[n](trace, model.DEFAULT_PROFILE), both.where(F.col("lens") == n)
         plain = lambda df: sorted(map(tuple, df.select("trace_id", "ts", F.round("score", 9)).collect()))
         assert plain(shared) == plain(own) and own.count() == 40
+
+
+def test_chains_share_a_sort(spark):
+    """The templates that lie in one trace are found by one shuffle, each as by its own."""
+    trace = profile.chunked(dense(spark), 1000.0, 100)
+    every = lenses.series(trace, model.DEFAULT_PROFILE, tuple(model.TEMPLATES))
+    assert every._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    plain = lambda df: sorted(map(tuple, df.select("trace_id", F.round("ts", 9), F.round("score", 9)).collect()))
+    for n in model.TEMPLATES:
+        steps = [model.TOKENS[x] for x in model.TEMPLATES[n]]
+        rows = trace.where("chan = 0 AND trace_id = 3").orderBy("t", "seq").select("t", F.expr("CASE WHEN kind = 1 AND target < 7 THEN 6 ELSE kind END")).limit(300).collect()
+        want = []
+        for i, (t, k) in enumerate(rows):
+            at = i if k == steps[0] else None
+            for s in steps[1:]:
+                at = None if at is None else next((j for j in range(at + 1, len(rows)) if rows[j][1] == s), None)
+            if at is not None:
+                want.append((3, round(rows[at][0], 9), round(max(0.0, math.log(3600.0 / (rows[at][0] - t + 1.0))), 9)))
+        own = every.where(F.col("lens") == n)
+        assert want and plain(own.where((F.col("trace_id") == 3) & (F.col("ts") <= rows[-1][0]))) == sorted(want)
+
+
+def test_detectors_leave_the_other_record_alone(spark):
+    """A detector of reported events reads their table only, and the scores start no Python worker."""
+    trace = behaviour._chunks(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(trace.where("chan = 0")).count("parquet") == plan(trace.where("chan = 1")).count("parquet") + 1  # and the chunks that are large enough
+    assert "Union" not in plan(trace.where("chan = 0"))
+    assert "LogicalRDD" not in plan(stack.scores(lenses.series(trace, behaviour.PROFILE, ("burst",)), trace, ("burst",)))
+
+
+def test_local_rows(spark):
+    rows = [("a", 1, None, 0.5), ("b", 2, "x", None)]
+    df = tables.local(spark, rows, "a string, b int, c string, d double")
+    assert sorted(map(tuple, df.collect())) == rows and df.schema.simpleString() == "struct<a:string,b:int,c:string,d:double>"
+    assert tables.local(spark, [], "a string, b int").count() == 0

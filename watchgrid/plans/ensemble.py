@@ -91,7 +91,7 @@ def redundancy(spark, sf_dir):
     fired = detection.Fired.of(_table(spark, sf_dir), list(behaviour.PLAIN))
     rows = [("order", i, n, float(g)) for i, (n, g) in enumerate(fired.order())] + [("group", i, "+".join(g), float(len(g))) for i, g in enumerate(fired.groups())]
     rows += [("plateau", m, "", s) for m, s in fired.plateau()] + [("without", 0, n, c) for n, c in fired.without_one().items()]
-    return spark.createDataFrame(rows, "what string, place int, name string, value double")
+    return tables.local(spark, rows, "what string, place int, name string, value double")
 
 
 QUERIES["redundancy"] = redundancy
@@ -100,7 +100,7 @@ QUERIES["redundancy"] = redundancy
 def coverage_plateau(spark, sf_dir):
     """The exact expected coverage of m random monitors."""
     fired = detection.Fired.of(_table(spark, sf_dir), list(behaviour.PLAIN))
-    return _round(spark.createDataFrame(fired.plateau(), "m int, share double"), "share")
+    return _round(tables.local(spark, fired.plateau(), "m int, share double"), "share")
 
 
 QUERIES["coverage_plateau"] = coverage_plateau
@@ -111,7 +111,7 @@ SELECT m.m, round(avg(1 - CASE WHEN {_M} - f < m.m THEN 0.0 ELSE exp(lgamma({_M}
 
 def leave_one_out(spark, sf_dir):
     fired = detection.Fired.of(_table(spark, sf_dir), list(behaviour.PLAIN))
-    return _round(spark.createDataFrame(list(fired.without_one().items()), "monitor string, coverage double"), "coverage")
+    return _round(tables.local(spark, list(fired.without_one().items()), "monitor string, coverage double"), "coverage")
 
 
 QUERIES["leave_one_out"] = leave_one_out
@@ -133,7 +133,7 @@ fk AS (SELECT concat('f', item % 3) AS family, pow(2.0, item % 4) AS k, avg(caug
 def near_copies(spark, sf_dir):
     """The representative of every detector that ever fires; those that detect nearly alike share one."""
     rep, _ = detection.independent(_table(spark, sf_dir), 0.5)
-    return spark.createDataFrame(sorted(rep.items()), "monitor string, representative string")
+    return tables.local(spark, sorted(rep.items()), "monitor string, representative string")
 
 
 QUERIES["near_copies"] = near_copies
