@@ -179,3 +179,52 @@ def test_local_rows(spark):
     df = tables.local(spark, rows, "a string, b int, c string, d double")
     assert sorted(map(tuple, df.collect())) == rows and df.schema.simpleString() == "struct<a:string,b:int,c:string,d:double>"
     assert tables.local(spark, [], "a string, b int").count() == 0
+
+
+def test_unmatched_sorts_buckets_only(spark):
+    """Rows are compared with what a sort of the buckets found: none of them is sorted. Tolerances of nearly four buckets, times around their ends."""
+    out = rewrites.unmatched(dense(spark), ["trace_id", "kind"], "t", "chan", 2.0)
+    assert "Window [" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(t) / 16 - 9, int(c), i) for i, (k, t, c) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 1600, 300), rng.random(300) < 0.3, strict=True))]
+    for tol in (1.9, 0.99, 0.5, 4.0):
+        got = sorted(r["i"] for r in rewrites.unmatched(spark.createDataFrame(rows, "k int, t double, c int, i int"), ["k"], "t", "c", tol).collect())
+        want = sorted(i for k, t, c, i in rows if not any(k2 == k and c2 != c and abs(t2 - t) <= tol for k2, t2, c2, _ in rows))
+        assert got == want and 0 < len(got) < 300
+
+
+def test_counts_share_a_reading(spark):
+    names = ("sweep", "ctrl", "netvol")
+    trace = profile.chunked(dense(spark).withColumn("target", F.when(F.col("seq") % 50 > 0, F.col("target"))), 1000.0, 100)
+    every = lenses.series(trace, model.DEFAULT_PROFILE, names)
+    assert "Union" not in every._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[0]
+    plain = lambda df: sorted(map(tuple, df.select("trace_id", F.round("ts", 9), F.round("score", 9)).collect()))
+    for n in names:
+        own = plain(lenses.LENSES[n](trace, model.DEFAULT_PROFILE))
+        assert own and plain(every.where(F.col("lens") == n)) == own
+
+
+def test_scores_need_no_join(spark):
+    """A trace without a series has a score of 0, a series without a trace none."""
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "trace_id long")
+    series = spark.createDataFrame([(1, "a", 0.0, 3.0), (1, "a", 1.0, 2.0), (1, "b", 1.0, -2.0), (3, "a", 0.0, 9.0), (2, "other", 0.0, 9.0), (2, "b", 0.0, None)], "trace_id long, lens string, ts double, score double")
+    for traces in (ids, ids.withColumn("t", F.lit(0.0))):
+        out = stack.scores(series, traces, ("a", "b"))
+        assert sorted(map(tuple, out.collect())) == [(1, "a", 3.0), (1, "b", -2.0), (2, "a", 0.0), (2, "b", 0.0)]
+        assert "Join LeftOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_detectors_run_once_over_attacks_and_clean_chunks(spark, monkeypatch):
+    calls, real = [], lenses.series
+    monkeypatch.setattr(lenses, "series", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    assert catalog.QUERIES["detection_curves"](spark, SF).count() == 30
+    assert len(calls) == 2  # of all chunks for the thresholds, and of the attacks with their clean chunks
+
+
+@pytest.mark.parametrize("name", sorted(set(DENSE) - {"lens_books", "ablation", "detection_matrix"}))
+def test_no_row_is_sorted_for_the_books(spark, monkeypatch, name):
+    """A RANGE frame over rows sorts both records; buckets need none."""
+    plans, real = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df: (plans.append(df), real(df))[1])
+    plans.append(catalog.QUERIES[name](spark, SF))
+    assert "RangeFrame" not in "".join(df._jdf.queryExecution().analyzed().toString() for df in plans)

@@ -146,9 +146,9 @@ SELECT a AS monitor, min(c) AS representative FROM rc GROUP BY a"""
 
 def gate_decision(spark, sf_dir):
     """The gate's criteria over the detection table, the later chunks' alarms and the accounts."""
-    trace, series = behaviour._series(spark, sf_dir)  # scores and alarms are both of these
-    table = _table(spark, sf_dir, tables.written(stack.scores(series, trace, behaviour.PLAIN)))
-    late = tables.written(behaviour._alarms(spark, sf_dir, (trace, series)))
+    ids, series = behaviour._series(spark, sf_dir)  # scores and alarms are both of these
+    table = _table(spark, sf_dir, tables.written(stack.scores(series, ids, behaviour.PLAIN)))
+    late = tables.written(behaviour._alarms(spark, sf_dir, (ids, series)))
     names = F.array(*[F.lit(n) for n in behaviour.PLAIN])
     clean = late.select(F.col("trace_id").alias("item"), F.explode(names).alias("monitor"), "fired").select("item", "monitor", F.array_contains("fired", F.col("monitor")).cast("int").alias("detected"))
     records = tables.written(views.updates(spark, sf_dir))
