@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchgrid import model
-from watchgrid.operators import accounting, gate, lenses, profile, rewrites, stack
+from watchgrid.operators import accounting, attacks, gate, lenses, profile, rewrites, stack
 from watchgrid.plans import behaviour, catalog
 from watchgrid.sources import tables, views
 
@@ -228,3 +228,47 @@ def test_no_row_is_sorted_for_the_books(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "written", lambda df: (plans.append(df), real(df))[1])
     plans.append(catalog.QUERIES[name](spark, SF))
     assert "RangeFrame" not in "".join(df._jdf.queryExecution().analyzed().toString() for df in plans)
+
+
+def test_every_later_chunk_is_attacked(spark, monkeypatch):
+    """No chunk of the part that is not calibrated on is left out of the curves, and none is left to chance."""
+    tried, real = [], attacks.injected
+    monkeypatch.setattr(attacks, "injected", lambda chunks, prof, names, items, *a: (tried.append(items), real(chunks, prof, names, items, *a))[1])
+    rows = catalog.QUERIES["detection_curves"](spark, SF).collect()
+    chunks = [r["trace_id"] for r in views.chunks(spark, SF).select("trace_id").distinct().orderBy("trace_id").collect()]
+    later = chunks[int(len(chunks) * 0.6) :]
+    assert len(later) > 8 and len(rows) == 30 and {r["n"] for r in rows} == {3 * len(later)}
+    assert {(r["base"], r["count"]) for r in tried[0].groupBy("base").count().collect()} == {(b, 90) for b in later}
+    assert tried[0].select("item").distinct().count() == tried[0].count()
+
+
+@pytest.mark.parametrize("tau", [0.5, 3.0])
+def test_laid_over_events_score_as_in_copies(spark, tau):
+    """The detectors that read a base chunk once say of every item what they say of a copy of the chunk with the item's events."""
+    rng = np.random.default_rng(int(tau * 2))
+    rows = []
+    for trace in range(3):
+        for i in range(600):
+            t, kind = float(np.round(rng.uniform(0, 4000), 2)), int(rng.integers(6))
+            target = None if i % 40 == 0 else int(rng.integers(30))
+            rows.append((trace, i, t, 0, kind, target, float(i % 7), None, 0))
+            if trace and i % 5:  # the first trace has no independent record
+                rows += [(trace, None, t + 0.25 + 3.0 * (i % 4 == 0), 0, kind, None, None, None, 1)] * (1 + (i % 9 == 0))
+    rows.append((1, 1000, 50.0, 0, None, 3, 1.0, None, 0))
+    bases = tables.written(spark.createDataFrame(rows, model.TRACE_SCHEMA))
+    items = spark.createDataFrame([(i, i % 3) for i in range(12)], "item long, base long")
+    extra = []
+    for i in range(12):
+        for at in np.sort(rng.uniform(0, [8.0, 300.0, 3900.0][i // 4], 25)) + rng.uniform(0, 90):
+            extra.append((i, i % 3, float(at), int(rng.integers(6)), int(rng.integers(40)), 5.0))
+        extra += [(i, i % 3, float(rows[100][2]), int(rows[100][4]), 3, 1.0)] * 2  # at the time of another event, twice
+    extra = tables.written(spark.createDataFrame(extra, "item long, base long, t double, kind int, target int, size double"))
+    names, prof = lenses.local(lenses.DEFAULT), model.DEFAULT_PROFILE
+    assert names == ["burst", "sweep", "ctrl", "netvol", "books", *model.TEMPLATES]
+    base_of = {r["item"]: r["base"] for r in items.collect()}
+    seen = lambda df: {(r["trace_id"], r["lens"], round(r["ts"], 9), round(r["score"], 9)) for r in df.where(f"score > {tau} AND ts IS NOT NULL").collect()}
+    clean = seen(lenses.series(bases, prof, names))
+    new = lambda found: {x for x in found if (base_of[x[0]], *x[1:]) not in clean}
+    copied = new(seen(lenses.series(tables.written(attacks.overlaid(bases, items, extra)), prof, names)))
+    assert {x[1] for x in copied} == set(names)
+    assert new(seen(lenses.altered(bases, extra, prof, names, dict.fromkeys(names, tau)))) == copied
